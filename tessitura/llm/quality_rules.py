@@ -5,7 +5,7 @@ abstains (1).  No rule is trusted beforehand: expectation-maximisation over the
 observed vote patterns estimates, for each rule, how often it casts each vote on
 good and on bad texts, and the posterior probability of being good decides.
 
-The patterns are bounded (three votes for each of seven rules: at most 2,187),
+The patterns are bounded (three votes for each of eight rules: at most 6,561),
 so the EM runs as one fold over an array of at most that many entries, whatever
 the size of the corpus; its input is an ordinary partial aggregation.
 
@@ -22,28 +22,35 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import written
 
 ROUNDS = 20
+#: Prior of each rule's votes (reject, abstain, keep) on good and on bad texts, and its
+#: weight as a share of all texts.  It keeps the two classes from turning into "one kind
+#: of junk" and "all else", as plain maximum likelihood does when rules overlap.
+VOTES_GOOD, VOTES_BAD, PRIOR_WEIGHT = (0.01, 0.1, 0.89), (0.4, 0.1, 0.5), 0.1
 SMOOTHING = 1.0
 PRIOR_GOOD = 0.8
 
 #: name: (reject if, keep if) over the counts of ``measure``; otherwise abstain.
 RULES = {
     "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    "word_length": ("word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 AND n_lines >= 2"),
-    "windows": ("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words"),
-    "variety": ("n_distinct < 0.2 * n_words", "n_distinct >= 0.4 * n_words OR n_distinct >= 300"),
-    "sentences": ("n_ends < 0.01 * n_words", "n_ends >= 0.02 * n_words AND n_ends <= 0.4 * n_words"),
+    "marks": ("n_marks > 0.6 * n_words", "n_marks <= 0.35 * n_words"),
+    "runs": ("n_runs > 0.02 * n_words", "n_runs = 0"),
     "bars": ("n_bars > 0.1 * n_words", "n_bars = 0"),
+    "word_length": ("word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
+    "lines": ("n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
+    "windows": ("n_repeat_words > 0.4 * n_words", "n_repeat_words <= 0.1 * n_words"),
+    "variety": ("n_distinct < 0.15 * n_words AND n_distinct < 300", "n_distinct >= 0.4 * n_words OR n_distinct >= 300"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
+MARKS_SQL = "'!()*+,-./:;<=>?@[]^_{|}~#$%&0123456789'"
+RUNS_SQL = "'[#*$%&|<>]{3}'"
 # \x09 to \x0D, for translate()
 _WHITE = "concat(' ', decode(unhex('090A0B0C0D'), 'UTF-8'))"
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the five contract counts and n_lines, n_distinct, n_ends, n_bars (all long); one pass, no shuffle."""
+    """key, the five contract counts and n_lines, n_distinct, n_bars, n_marks, n_runs (all long); one pass, no shuffle."""
     t = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = t.selectExpr(
         "_key", "_t", f"array_remove(split(translate(_t, {_WHITE}, '      '), ' '), '') AS _w",
@@ -62,8 +69,9 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "CASE WHEN _n < 4 THEN 0L ELSE aggregate(_p, named_struct('e', 0, 'n', 0L), (a, x) -> named_struct('e', x + 3, 'n', a.n + x + 3 - greatest(a.e, x)), a -> a.n) END AS n_repeat_words",
         f"{long('size(_l)')} AS n_lines",
         f"{long('size(array_distinct(_w))')} AS n_distinct",
-        f"{long('length(_t) - length(translate(_t, ' + repr('.!?') + ', ' + chr(39) * 2 + '))')} AS n_ends",
         f"{long('length(_t) - length(translate(_t, ' + repr('|') + ', ' + chr(39) * 2 + '))')} AS n_bars",
+        f"{long(f'length(_t) - length(translate(_t, {MARKS_SQL}, {chr(39) * 2}))')} AS n_marks",
+        f"{long(f'regexp_count(_t, {RUNS_SQL})')} AS n_runs",
     )
 
 
@@ -79,14 +87,16 @@ def accuracies(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     patterns = voted.groupBy(*names).agg(F.count("*").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*names).alias("v"), F.col("n").cast("double").alias("n")))).alias("pats"))
     one = one.selectExpr("pats", "coalesce(aggregate(pats, 0D, (a, x) -> a + x.n), 0D) AS total")
-    # first guess: a keep vote is right twice as often as wrong
-    first = f"concat(array(ln({PRIOR_GOOD} / {1 - PRIOR_GOOD})), flatten(transform(sequence(1, {len(names)}), k -> array(-ln(3D), 0D, ln(3D)))))"
+    # first guess: the prior
+    q = [f"array({', '.join(f'{x}D' for x in v)})" for v in (VOTES_GOOD, VOTES_BAD)]
+    w = f"{PRIOR_WEIGHT}D * total"
+    first = f"concat(array(ln({PRIOR_GOOD} / {1 - PRIOR_GOOD})), flatten(transform(sequence(1, {len(names)}), k -> transform(sequence(0, 2), c -> ln({q[0]}[c] / {q[1]}[c])))))"
     odds = f"m[0] + aggregate(sequence(0, {len(names) - 1}), 0D, (a, k) -> a + m[1 + 3 * k + x.v[k]])"
     weighed = f"transform(pats, x -> named_struct('v', x.v, 'n', x.n, 'g', x.n / (1D + exp(-({odds})))))"
     # z: patterns with their good mass; g: good mass of all
     good = "aggregate(z, 0D, (a, x) -> a + x.g)"
-    cell = lambda what: f"aggregate(z, {SMOOTHING}D, (a, x) -> a + CASE WHEN x.v[CAST(c / 3 AS INT)] = c % 3 THEN {what} ELSE 0D END)"
-    ratios = f"transform(sequence(0, {size - 1}), c -> ln({cell('x.g')} / (g + {3 * SMOOTHING}D)) - ln({cell('x.n - x.g')} / (total - g + {3 * SMOOTHING}D)))"
+    cell = lambda what, prior: f"aggregate(z, {w} * {prior}[c % 3], (a, x) -> a + CASE WHEN x.v[CAST(c / 3 AS INT)] = c % 3 THEN {what} ELSE 0D END)"
+    ratios = f"transform(sequence(0, {size - 1}), c -> ln({cell('x.g', q[0])} / (g + {w})) - ln({cell('x.n - x.g', q[1])} / (total - g + {w})))"
     step = (
         "aggregate(array({weighed}), CAST(array() AS ARRAY<DOUBLE>), (u1, z) -> aggregate(array({good}), CAST(array() AS ARRAY<DOUBLE>), (u2, g) ->"
         " concat(array(ln((g + {s}D) / (total - g + {s}D))), {ratios})))"
@@ -104,7 +114,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     """Counts, votes, posterior, base_failed and kept for every document."""
     voted = votes(written(measure(docs, key, text), "quality"))
     model = accuracies(voted)
-    out = voted.crossJoin(F.broadcast(model))  # the model is one row of 22 numbers
+    out = voted.crossJoin(F.broadcast(model))  # the model is one row of 25 numbers
     out = out.withColumn("p_good", posterior()).drop("model").withColumn("base_failed", F.expr(BASE_FAILED))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
@@ -131,15 +141,17 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
 m AS MATERIALIZED (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, ({chars('#*$%&|<>')})::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, len(list_distinct(w))::BIGINT AS n_distinct,
-  ({chars('.!?')})::BIGINT AS n_ends, ({chars('|')})::BIGINT AS n_bars FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+  ({chars('|')})::BIGINT AS n_bars,
+  (length(t) - length(translate(t, {MARKS_SQL}, '')))::BIGINT AS n_marks, len(regexp_extract_all(t, {RUNS_SQL}))::BIGINT AS n_runs FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
 v AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN n_words = 0 THEN 1 WHEN {no} THEN 0 WHEN {yes} THEN 2 ELSE 1 END AS v{k}' for k, (no, yes) in enumerate(RULES.values()))} FROM m),
 p AS MATERIALIZED (SELECT {', '.join(f'v{k}' for k, _ in ks)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
-e0 AS MATERIALIZED (SELECT ln({PRIOR_GOOD} / {1 - PRIOR_GOOD}) AS b, {', '.join(f'-ln(3) AS r{k}0, 0.0::DOUBLE AS r{k}1, ln(3) AS r{k}2' for k, _ in ks)}),
+e0 AS MATERIALIZED (SELECT ln({PRIOR_GOOD} / {1 - PRIOR_GOOD}) AS b, {', '.join(f'ln({VOTES_GOOD[c] / VOTES_BAD[c]!r}) AS r{k}{c}' for k, _ in ks for c in range(3))}),
 """
     odds = "b + " + " + ".join(f"CASE v{k} WHEN 0 THEN r{k}0 WHEN 1 THEN r{k}1 ELSE r{k}2 END" for k, _ in ks)
     s = SMOOTHING
     for i in range(1, rounds + 1):
-        cells = ", ".join(f"ln((sum(g) FILTER (v{k} = {c}) IS NULL)::INT * {s} + coalesce(sum(g) FILTER (v{k} = {c}) + {s}, 0)) - ln(sum(g) + {3 * s}) - ln(coalesce(sum(n - g) FILTER (v{k} = {c}), 0) + {s}) + ln(sum(n - g) + {3 * s}) AS r{k}{c}" for k, _ in ks for c in range(3))
+        w = f"{PRIOR_WEIGHT} * sum(n)"
+        cells = ", ".join(f"ln((coalesce(sum(g) FILTER (v{k} = {c}), 0) + {w} * {VOTES_GOOD[c]}) / (sum(g) + {w})) - ln((coalesce(sum(n - g) FILTER (v{k} = {c}), 0) + {w} * {VOTES_BAD[c]}) / (sum(n - g) + {w})) AS r{k}{c}" for k, _ in ks for c in range(3))
         sql += f"w{i} AS MATERIALIZED (SELECT p.*, n / (1 + exp(-({odds}))) AS g FROM p, e{i - 1}), e{i} AS MATERIALIZED (SELECT ln((sum(g) + {s}) / (sum(n - g) + {s})) AS b, {cells} FROM w{i}),\n"
     return sql + f"""f AS (SELECT doc_id, {', '.join(COUNTS)}, ({BASE_FAILED}) AS base_failed, 1 / (1 + exp(-({odds}))) AS p_good FROM v, e{rounds})
 SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND p_good >= 0.5 AS kept FROM f"""
