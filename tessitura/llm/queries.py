@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, quality_rules
+from tessitura.llm import bpe, chat_format, quality_rules, warc_audit
 from tessitura.llm.common import table
 
 
@@ -29,13 +29,19 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
+    "op7_warc_audit": op7_warc_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle_sql(),
     "op4_chat_format": chat_format.ORACLE_SQL,
+    "op7_warc_audit": warc_audit.ORACLE_SQL,
 }
