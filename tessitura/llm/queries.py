@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, quality_rules, warc_audit
+from tessitura.llm import bpe, chat_format, quality_classifier, quality_rules, warc_audit
 from tessitura.llm.common import table
 
 
@@ -33,11 +33,16 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.query(table(spark, sf_dir, "pages"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
     "op7_warc_audit": op7_warc_audit,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
