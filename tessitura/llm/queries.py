@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, quality_classifier, quality_rules, warc_audit
+from tessitura.llm import bpe, chat_format, near_dup, quality_classifier, quality_rules, warc_audit
 from tessitura.llm.common import table
 
 
@@ -37,12 +37,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.query(table(spark, sf_dir, "documents"))
 
 
+def op10_odd_sketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
     "op7_warc_audit": op7_warc_audit,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_odd_sketch_near_dup": op10_odd_sketch_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {
