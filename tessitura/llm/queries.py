@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, near_dup, quality_classifier, quality_rules, warc_audit
+from tessitura.llm import bpe, chat_format, line_dedup, near_dup, quality_classifier, quality_rules, warc_audit
 from tessitura.llm.common import table
 
 
@@ -41,11 +41,16 @@ def op10_odd_sketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.query(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
     "op7_warc_audit": op7_warc_audit,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_odd_sketch_near_dup": op10_odd_sketch_near_dup,
 }
