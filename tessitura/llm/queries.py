@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, line_dedup, near_dup, quality_classifier, quality_rules, warc_audit
+from tessitura.llm import bpe, chat_format, decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, warc_audit
 from tessitura.llm.common import table
 
 
@@ -45,9 +45,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
+    "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_bpe": op6_bpe,
     "op7_warc_audit": op7_warc_audit,
     "op8_line_dedup": op8_line_dedup,
