@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, warc_audit
+from tessitura.llm import bpe, chat_format, decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, substring_dedup, warc_audit
 from tessitura.llm.common import table
 
 
@@ -49,8 +49,13 @@ def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_chat_format": op4_chat_format,
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_bpe": op6_bpe,
