@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import bpe, chat_format, decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, substring_dedup, warc_audit
+from tessitura.llm import bpe, chat_format, decontaminate, line_dedup, near_dup, pitman_yor, quality_classifier, quality_rules, substring_dedup, warc_audit
 from tessitura.llm.common import table
 
 
@@ -17,6 +17,10 @@ def byte_bpe_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.query(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_quality_rules": op2_quality_rules,
     "op3_repeated_strings": op3_repeated_strings,
     "op4_chat_format": op4_chat_format,
