@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import hash_strings, mix, written
-from tessitura.llm.linking import bitmap, flagged, link, verified
+from tessitura.llm.linking import bitmap, flagged, link
 from tessitura.llm.minhash import bands, signatures
 
 SHINGLE, PER_CENT = 8, 80
@@ -132,11 +132,8 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = written(banded(docs, key, text), "lines")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return verified(pairs, sets_of(docs, ids, text), PER_CENT)
-
-    linked = link(rows.select(F.explode("keys").alias("key"), F.col("line").alias("id")), verify).select(F.col("id").alias("line"), F.col("component").alias("class"))
+    linked = link(rows.select(F.explode("keys").alias("key"), F.col("line").alias("id")), lambda ids: sets_of(docs, ids, text), PER_CENT)
+    linked = linked.select(F.col("id").alias("line"), F.col("component").alias("class"))
     places = rows.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.sum("n").alias("n"))
     places = places.join(linked, "line", "left").where("n > 1 OR class IS NOT NULL").select("line", F.coalesce("class", "line").alias("class"), "first")
     places = written(places, "places")

@@ -5,11 +5,12 @@ and needless where only components are asked for:
 
 1. *Stars*: each bucket's smallest id is tested against the others.
 2. *Components* of the links found (alternating large-star and small-star).
-3. *Across*: in buckets that still hold several components, the members outside the
-   bucket's main component are tested against the members of other components.
+3. *More stars*: buckets that still hold several components are tested around other
+   pivots, drawn by a hash, between components only.
+4. *The rest*: what is still apart is compared in full, inside the tasks, in blocks.
 
 A pair that shares a bucket is thus tested or already connected, so the components are
-those of testing all pairs; a bucket of many copies costs as much as it has members.
+those of testing all pairs.
 Hot buckets are split: aggregations are partial, joins are left to adaptive skew joins.
 Components and links never reach the driver.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import written
 
 BITMAP_BITS = 24
+#: rounds of drawn pivots; members of a block outside the main component, and of a block of all
+TURNS, OUTER, INNER = 2, 256, 2048
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,31 +50,112 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id and component of all ids that are linked to another.
 
-    ``rows``: (key, id), any number of times.  ``verify`` takes distinct pairs (a, b)
-    with a < b and returns those that are truly linked.
+    ``rows``: (key, id), any number of times.  ``fetch`` takes ids (id) and returns their
+    sets (id, set: sorted distinct 64-bit hashes as a binary).  ``screen`` may drop pairs
+    (a, b) that can't be linked before their sets are compared.
     """
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
-    crowd = written(rows.join(buckets, "key"), "buckets")
-    stars = written(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = written(verify(stars), "links")
+    crowd = written(rows.join(buckets, "key").distinct(), "buckets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = written(screen(pairs) if screen else pairs, "pairs")
+        ids = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "id")
+        return written(verified(near, fetch(ids), per_cent), "links")
+
+    tested = written(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = linked(tested)
     found = components(links)
-    named = crowd.select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    named = written(named.join(mixed, "key"), "mixed")
-    outside = named.where("component != main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(named.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx != cy")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = written(across, "across")
-    if across.isEmpty():
+    for turn in range(TURNS):
+        mixed = _mixed(crowd, found)
+        # another pivot for each bucket, drawn by a hash, against the members of other components
+        draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
+        pairs = mixed.join(draw, "key").where("component != cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "stars")
+        if pairs.isEmpty():
+            return found
+        more = linked(pairs)
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        if not more.isEmpty():
+            found = components(links)
+    mixed = _mixed(crowd, found)
+    if mixed.isEmpty():
         return found
-    more = written(verify(across), "links")
+    more = _exhausted(mixed, fetch, per_cent)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
+def _mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, id, component) of the buckets that hold more than one component."""
+    named = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
+    return written(named.join(mixed, "key"), "mixed")
+
+
+def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int) -> DataFrame:
+    """Links (a, b) between components, at least one for each two that share a bucket and are linked.
+
+    Buckets that share members are one group.  In a group, the members outside its main
+    component are compared with all members, block by block, inside the tasks: no pair
+    leaves a task but one link for each member and component.
+    """
+    first = mixed.groupBy("key").agg(F.min("id").alias("a"))
+    hang = mixed.join(first, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    group = components(hang).withColumnRenamed("component", "grp")
+    member = written(mixed.select("id", "component").distinct().join(group, "id"), "groups")
+    sizes = member.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    main = main.select("grp", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
+    sets = fetch(member.select("id").distinct())
+    full = written(member.join(main, "grp").join(sets, "id"), "group_sets")
+    h = F.abs(F.xxhash64("id") % (1 << 40))
+    every = F.explode(F.expr("transform(sequence(0, other - 1), i -> named_struct('i', i))")).alias("o")
+    left = full.where("component != main").withColumns({"x": h % F.col("outer"), "other": F.col("inner")}).select("grp", F.lit(0).alias("role"), "id", "component", "set", "x", every).select("grp", "x", F.col("o.i").cast("long").alias("y"), "role", "id", "component", "set")
+    right = full.withColumns({"y": h % F.col("inner"), "other": F.col("outer")}).select("grp", F.lit(1).alias("role"), "id", "component", "set", "y", every).select("grp", F.col("o.i").cast("long").alias("x"), "y", "role", "id", "component", "set")
+
+    def run(batches):
+        at, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != at:
+                    yield _compared(held, per_cent)
+                    at, held = row[:3], []
+                held.append(row[3:])
+        yield _compared(held, per_cent)
+
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionByName(right).repartition(n, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "role")
+    return written(dealt.mapInArrow(run, "a long, b long"), "links")
+
+
+def _compared(rows: list[tuple], per_cent: int) -> pa.RecordBatch:
+    """One link for each left member and other component among the right ones; rows: (role, id, component, set)."""
+    out = []
+    outer = [r for r in rows if r[0] == 0]
+    inner = [r for r in rows if r[0] == 1]
+    if outer and inner:
+        sets = [np.frombuffer(r[3], np.uint64) for r in outer]
+        owner, hashes = np.repeat(np.arange(len(outer)), [len(s) for s in sets]), np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+        sizes, own = np.array([len(s) for s in sets]), np.array([r[2] for r in outer])
+        done = set()
+        for _, name, component, raw in inner:
+            x = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(hashes, x), np.searchsorted(hashes, x, side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            same = np.bincount(owner[at], minlength=len(outer))
+            for i in np.flatnonzero((100 * same >= per_cent * (sizes + len(x) - same)) & (own != component)).tolist():
+                if (i, component) not in done:
+                    done.add((i, component))
+                    out.append((min(outer[i][1], name), max(outer[i][1], name)))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """``2 ** bits`` flags (bytes of 8): where an id of ``ids`` has its low bits.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import Tokens, hash_strings, mix, written
-from tessitura.llm.linking import bitmap, flagged, link, verified
+from tessitura.llm.linking import bitmap, flagged, link
 from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signatures
 
 WORDS, PER_CENT = 5, 75
@@ -134,12 +134,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lone = written(every.join(member.where("id = rep").select("id"), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "bands", "sketch"), "representatives")
     sketches = lone.select("id", "n_shingles", "sketch")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = written(sketched_alike(pairs, sketches), "pairs")
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return verified(near, sets_of(docs, ids, key, text), PER_CENT)
-
-    found = link(lone.select(F.explode("bands").alias("key"), "id"), verify)
+    found = link(
+        lone.select(F.explode("bands").alias("key"), "id"),
+        lambda ids: sets_of(docs, ids, key, text),
+        PER_CENT,
+        lambda pairs: sketched_alike(pairs, sketches),
+    )
     out = member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))
