@@ -160,9 +160,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no item."""
-    bad = contaminated(docs, benchmark, key, text).select(F.col(key).alias("_key")).distinct()
-    return docs.join(bad, docs[key] == bad["_key"], "left_anti")
+    """The rows of ``docs`` that overlap no item; rows are told apart by key and text."""
+    named = docs.withColumn("_row", F.xxhash64(key, text))
+    bad = contaminated(named, benchmark, "_row", text).select("_row").distinct()
+    return named.join(bad, "_row", "left_anti").drop("_row")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -120,9 +120,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns."""
-    good = judge(docs, key, text, threshold).where("kept").select(F.col(key).alias("_key"))
-    return docs.join(good, docs[key] == good["_key"], "left_semi")
+    """The rows of ``docs`` that are kept, with all their columns; rows are told apart by key and text."""
+    named = docs.withColumn("_row", F.xxhash64(key, text))
+    good = judge(named, "_row", text, threshold).where("kept").select("_row")
+    return named.join(good, "_row", "left_semi").drop("_row")
 
 
 def query(docs: DataFrame) -> DataFrame:
