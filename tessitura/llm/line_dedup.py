@@ -6,7 +6,7 @@ line if it is shorter.  Lines are linked if 100 * |intersection| >= 80 * |union|
 component the first line, by the smallest (document, line number), stays, the others go.
 
 ``BANDS`` bands of ``ROWS`` samples: a pair at the threshold is missed with probability
-(1 - 0.8 ** 4) ** 12 = 0.002, at 0.9 with 1e-5.  Candidates are confirmed on the full
+(1 - 0.8 ** 4) ** 10 = 0.005, at 0.9 with 2e-5.  Candidates are confirmed on the full
 sets.  All further work is on 64-bit line hashes; texts are read twice more, to confirm
 and to rewrite.  Blank lines stay.  A document whose lines all go keeps an empty text; a
 null text stays null.  Rows with a null id take no part and stay as they are.  Rows that
@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import hash_strings, mix, written
+from tessitura.llm.common import hash_strings, mix, release, written
 from tessitura.llm.linking import bitmap, flagged, link
 from tessitura.llm.minhash import bands, signatures
 
 SHINGLE, PER_CENT = 8, 80
-ROWS, BANDS = 4, 12
+ROWS, BANDS = 4, 10
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _FACTORS = mix(np.arange(301, 301 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -107,22 +107,29 @@ def banded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL").mapInArrow(run, "line long, id long, number int, keys array<long>, n long")
 
 
-def sets_of(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """id (line hash) and set (sorted distinct shingle hashes as a binary) for the lines of ``lines`` (id)."""
+def shingle_set(line: memoryview) -> np.ndarray:
+    """Sorted distinct shingle hashes of one line."""
+    hashes, _ = shingles(pa.array([bytes(line)], pa.large_binary()))
+    return np.unique(hashes)
+
+
+def lines_of(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
+    """id (line hash) and set (the line itself, an eighth of its hashes) for the lines of ``lines`` (id)."""
     flags = bitmap(lines, "id")
 
     def run(batches):
+        sent = np.empty(0, np.int64)  # lines of this task that have gone out, so that common lines go once
         for b in batches:
             texts = b.column(0)
             for i, j in _blocks(np.array([v or 0 for v in pc.binary_length(texts).to_pylist()], np.int64)):
                 x = Lines(texts.slice(i, j - i))
-                use = np.flatnonzero(~x.blank & flagged(flags, x.hash))
+                use = np.flatnonzero(~x.blank & flagged(flags, x.hash) & ~np.isin(x.hash, sent))
                 if len(use):
-                    hashes, starts = shingles(x.of(use))
-                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), pa.array([np.unique(hashes[s:e]).tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["id", "set"])
+                    sent = np.concatenate((sent, x.hash[use]))[-1_000_000:]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), x.of(use).cast(pa.large_binary()).cast(pa.binary())], ["id", "set"])
 
     every = docs.select(text).mapInArrow(run, "id long, set binary")
-    return written(every.join(lines, "id", "left_semi").groupBy("id").agg(F.max("set").alias("set")), "sets")
+    return written(every.join(lines, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,8 +139,9 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = written(banded(docs, key, text), "lines")
 
-    linked = link(rows.select(F.explode("keys").alias("key"), F.col("line").alias("id")), lambda ids: sets_of(docs, ids, text), PER_CENT)
+    linked = link(rows.select(F.explode("keys").alias("key"), F.col("line").alias("id")), lambda ids: lines_of(docs, ids, text), PER_CENT, unpack=shingle_set)
     linked = linked.select(F.col("id").alias("line"), F.col("component").alias("class"))
+    release(docs.sparkSession)
     places = rows.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.sum("n").alias("n"))
     places = places.join(linked, "line", "left").where("n > 1 OR class IS NOT NULL").select("line", F.coalesce("class", "line").alias("class"), "first")
     places = written(places, "places")
@@ -162,7 +170,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that go left out of the text; n_lines_removed (long) is added."""
-    gone = removed_lines(docs, key, text).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("numbers").alias("_gone"))
+    gone = written(removed_lines(docs, key, text), "gone").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("numbers").alias("_gone"))
+    release(docs.sparkSession)
     out = docs.join(gone, (docs[key] == gone["_id"]) & (F.xxhash64(docs[text]) == gone["_mark"]), "left")
     out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
     out = out.withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))

@@ -31,6 +31,10 @@ BITMAP_BITS = 24
 TURNS, OUTER, INNER = 2, 256, 2048
 
 
+def as_hashes(raw: memoryview) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) for every id in ``edges`` (a, b)."""
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
@@ -50,20 +54,21 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None, unpack: Callable[[memoryview], np.ndarray] = as_hashes) -> DataFrame:
     """id and component of all ids that are linked to another.
 
     ``rows``: (key, id), any number of times.  ``fetch`` takes ids (id) and returns their
-    sets (id, set: sorted distinct 64-bit hashes as a binary).  ``screen`` may drop pairs
-    (a, b) that can't be linked before their sets are compared.
+    sets (id, set: a binary that ``unpack`` turns into sorted distinct 64-bit hashes).
+    ``screen`` may drop pairs (a, b) that can't be linked before their sets are compared.
     """
+    rows = rows.repartition("key")  # one exchange serves both the counts and the join
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
     crowd = written(rows.join(buckets, "key").distinct(), "buckets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = written(screen(pairs) if screen else pairs, "pairs")
         ids = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "id")
-        return written(verified(near, fetch(ids), per_cent), "links")
+        return written(verified(near, fetch(ids), per_cent, unpack), "links")
 
     tested = written(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = linked(tested)
@@ -83,7 +88,7 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int
     mixed = _mixed(crowd, found)
     if mixed.isEmpty():
         return found
-    more = _exhausted(mixed, fetch, per_cent)
+    more = _exhausted(mixed, fetch, per_cent, unpack)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -94,7 +99,7 @@ def _mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
     return written(named.join(mixed, "key"), "mixed")
 
 
-def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int) -> DataFrame:
+def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
     """Links (a, b) between components, at least one for each two that share a bucket and are linked.
 
     Buckets that share members are one group.  In a group, the members outside its main
@@ -120,30 +125,30 @@ def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_ce
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:3] != at:
-                    yield _compared(held, per_cent)
+                    yield _compared(held, per_cent, unpack)
                     at, held = row[:3], []
                 held.append(row[3:])
-        yield _compared(held, per_cent)
+        yield _compared(held, per_cent, unpack)
 
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionByName(right).repartition(n, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "role")
     return written(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def _compared(rows: list[tuple], per_cent: int) -> pa.RecordBatch:
+def _compared(rows: list[tuple], per_cent: int, unpack) -> pa.RecordBatch:
     """One link for each left member and other component among the right ones; rows: (role, id, component, set)."""
     out = []
     outer = [r for r in rows if r[0] == 0]
     inner = [r for r in rows if r[0] == 1]
     if outer and inner:
-        sets = [np.frombuffer(r[3], np.uint64) for r in outer]
+        sets = [unpack(r[3]) for r in outer]
         owner, hashes = np.repeat(np.arange(len(outer)), [len(s) for s in sets]), np.concatenate(sets)
         order = np.argsort(hashes, kind="stable")
         owner, hashes = owner[order], hashes[order]
         sizes, own = np.array([len(s) for s in sets]), np.array([r[2] for r in outer])
         done = set()
         for _, name, component, raw in inner:
-            x = np.frombuffer(raw, np.uint64)
+            x = unpack(raw)
             lo, hi = np.searchsorted(hashes, x), np.searchsorted(hashes, x, side="right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -175,10 +180,10 @@ def flagged(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (flags[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
 
 
-def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray] = as_hashes) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= per_cent * union.
 
-    ``sets``: id and a binary of sorted distinct 64-bit hashes.
+    ``sets``: id and a binary that ``unpack`` turns into sorted distinct 64-bit hashes.
     """
 
     def run(batches):
@@ -186,7 +191,7 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
             a, b = x.column(2), x.column(3)
             good = np.zeros(x.num_rows, bool)
             for i in range(x.num_rows):
-                p, q = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                p, q = unpack(a[i].as_buffer()), unpack(b[i].as_buffer())
                 if 100 * min(len(p), len(q)) < per_cent * max(len(p), len(q)):
                     continue
                 both = np.concatenate((p, q))

@@ -30,17 +30,16 @@ ignored.  Longer texts than a block are a block of their own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, hash_strings, mix, written
+from tessitura.llm.common import Tokens, hash_strings, mix, release, written
 
 BLOCK = 16_000_000
 #: discounts and strengths of contexts and parent
@@ -367,12 +366,6 @@ def roots(asked: DataFrame, tables: DataFrame, shards: int, customers: int) -> D
     return both.mapInArrow(answer, "block long, shard int, a binary, b binary, tokens long, distinct long, tables double")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
     spark = docs.sparkSession
