@@ -6,8 +6,9 @@ first, and suffixes alone in their group leave after each pass; the groups left
 the last pass are exactly the repeated windows.  The digits, from the most significant:
 
 1. the window's own anchor: its ``ANCHOR``-byte substring with the smallest hash (the
-   leftmost of equals) and where it stands in the window.  Some hundred neighbouring
-   windows share an anchor, so this pass sorts one row for a run of windows;
+   leftmost of equals), and in which of ``CELLS`` parts of the window it begins, with all
+   bytes that the windows of such a cell have in common.  Some fifty neighbouring windows
+   share them, so this pass sorts one row for a run of windows;
 2. the run's whole context (all bytes of its windows).  Equal contexts are repeats in
    one go, and one of them stands for all of them from here on;
 3. the window itself, only for runs whose anchor occurs in different contexts.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import mix, written
 from tessitura.llm.linking import bitmap, flagged
 
-WINDOW, ANCHOR, BLOCK = 400, 80, 2_000_000
+WINDOW, ANCHOR, CELLS, BLOCK = 400, 80, 3, 2_000_000
 _G = 8  # bytes in one symbol
 _POS_BITS = 23
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -71,7 +72,6 @@ class Block:
             valid = np.empty(0, np.int64)
         else:
             order = mix(self.hash(np.arange(n), anchor))
-            self.order = order
             key = np.full(-(-n // wide) * wide, np.uint64(2**64 - 1))
             key[:n] = order >> np.uint64(_POS_BITS) << np.uint64(_POS_BITS) | np.arange(n, dtype=np.uint64)
             rows = key.reshape(-1, wide)
@@ -87,15 +87,24 @@ class Block:
             a = at[valid]
             cut = np.append(True, (a[1:] != a[:-1]) | (valid[1:] != valid[:-1] + 1))
             i = np.flatnonzero(cut)
-            self.low, self.high = valid[i], valid[np.append(i[1:] - 1, len(valid) - 1)]
-            self.anchors = order[a[i]]
-            self.contexts = mix(self.hash(self.low, self.high - self.low + window) ^ mix(((a[i] - self.low) * 1024 + (self.high - self.low)).astype(np.uint64)))
+            self._cells(a[i], valid[i], valid[np.append(i[1:] - 1, len(valid) - 1)], -(-wide // CELLS))
         else:
             self.low = self.high = np.empty(0, np.int64)
             self.anchors = self.contexts = np.empty(0, np.uint64)
         piece = np.searchsorted(self.starts, self.low, side="right") - 1
         self.doc, self.shift = self.ids[piece], self.bases[piece] - self.starts[piece]
 
+    def _cells(self, a: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> None:
+        """Runs of anchors ``a`` and window starts low to high, cut where the anchor's place in the window leaves a cell."""
+        first, last = (a - high) // width, (a - low) // width
+        n = last - first + 1
+        a, low, high = (np.repeat(x, n) for x in (a, low, high))
+        cell = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(a))
+        self.low, self.high = np.maximum(low, a - cell * width - width + 1), np.minimum(high, a - cell * width)
+        core = self.hash(a - cell * width, self.window - width + 1)
+        self.anchors = mix(core ^ mix(cell.astype(np.uint64)))
+        self.contexts = mix(self.hash(self.low, self.high - self.low + self.window) ^ mix(((a - self.low) * 1024 + (self.high - self.low)).astype(np.uint64)))
+
     def hash(self, at: np.ndarray, length) -> np.ndarray:
         """Hash of ``length`` bytes from each place."""
         return (self.sums[at + (length - _G + 1)] - self.sums[at]) * self.back[at]
@@ -186,7 +195,7 @@ def _gathered(batches, dtypes: list[str], least: int = 1_000_000) -> Iterator[li
 def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """_doc (hash of id and text) and starts, ends array<int>: maximal runs of bytes to remove."""
     spark = docs.sparkSession
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(batches):
         for b in batches:
@@ -212,7 +221,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, an
 
     source = docs.select("_doc", F.col(text).alias("_text"))
     blobs = "part int, a binary, c binary, d binary, p binary, n binary"
-    first = source.mapInArrow(runs, blobs).repartition(parts // 8, "part").mapInArrow(by_context, "pass int, doc long, low long, n long")
+    first = source.mapInArrow(runs, blobs).repartition(parts, "part").mapInArrow(by_context, "pass int, doc long, low long, n long")
     first = written(first, "runs")
     done = first.where("pass = 1").select("doc", "low", "n")
 
@@ -267,9 +276,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, an
         yield pa.RecordBatch.from_arrays([pa.array(owner[j]), pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))], ["_doc", "starts", "ends"])
 
     blobs = "part int, d binary, p binary, n binary"
-    last = source.mapInArrow(windows, "part int, h binary, d binary, p binary").repartition(parts // 8, "part").mapInArrow(by_window, blobs)
+    last = source.mapInArrow(windows, "part int, h binary, d binary, p binary").repartition(parts, "part").mapInArrow(by_window, blobs)
     every = last.unionByName(done.mapInArrow(packed, blobs))
-    return every.repartition(parts // 8, "part").mapInArrow(spans, "_doc long, starts array<int>, ends array<int>")
+    return every.repartition(parts, "part").mapInArrow(spans, "_doc long, starts array<int>, ends array<int>")
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
