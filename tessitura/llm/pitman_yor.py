@@ -23,7 +23,8 @@ their distinct bigrams and words, packed in arrays, and get the answers back in
 order; nothing of the model is broadcast, and every exchange grows with the corpus.
 
 Words are lower-cased in A-Z; each text ends in one end token, which is also the context
-of its first word.  Null texts are empty.  Words are told apart by 64-bit hashes.
+of its first word.  Null texts are empty.  Words are told apart by 64-bit
+hashes for the counts, and by 48 bits of them for the model.
 Repeated rows are scored one by one; a null key counts as training; other columns are
 ignored.  Longer texts than a block are a block of their own.
 """
@@ -39,14 +40,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, hash_strings, mix, release, written
+from tessitura.llm.common import Tokens, hash_strings, mix, written
 
-BLOCK = 16_000_000
+BLOCK = 12_000_000
 #: discounts and strengths of contexts and parent
 D_LEAF, S_LEAF, D_ROOT, S_ROOT = 0.85, 1.0, 0.6, 20.0
 BURN_IN, SAMPLES, MOVES = 3, 3, 2
 _END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _SMALL = 64
+_SHORT = np.uint64(2**48 - 1)
+
+
+def short(words: np.ndarray) -> bytes:
+    """The low 48 bits of word hashes, packed: enough to tell the words of the model apart."""
+    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    """48-bit hashes as integers."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 class Seating:
@@ -180,7 +194,7 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays([
                 pa.array([part * 1_000_000 + n]), pa.array([x.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.column(1).to_pylist()], pa.list_(pa.bool_())),
-                pa.array([np.diff(ends, prepend=-1).astype(np.int32).tobytes()]), pa.array([rank[ids].astype(np.int32).tobytes()]), pa.array([words[order].tobytes()]),
+                pa.array([np.diff(ends, prepend=-1).astype(np.int32).tobytes()]), pa.array([pa.compress(rank[ids].astype(np.int32).tobytes(), "zstd", asbytes=True)]), pa.array([words[order].tobytes()]),
             ], ["block", "docs", "held", "sizes", "ids", "words"])
 
         for b in batches:
@@ -209,7 +223,7 @@ class Read:
     def __init__(self, row: dict, bigrams: bool = True):
         self.block, self.docs, self.held = row["block"], row["docs"], np.array(row["held"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-        self.ids = np.frombuffer(row["ids"], np.int32).astype(np.int64)
+        self.ids = np.frombuffer(pa.decompress(row["ids"], 4 * int(self.sizes.sum()), "zstd"), np.int32).astype(np.int64)
         self.words = np.frombuffer(row["words"], np.uint64)
         self.trains = np.repeat(~self.held, self.sizes)
         self.counts = np.bincount(self.ids[self.trains], minlength=len(self.words))
@@ -283,7 +297,7 @@ def bigram_requests(blocks: DataFrame, shards: int, hot: dict[int, int]) -> Data
                 first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k], pa.int32()), pa.array([x.block]), pa.array([x.words[u[first]].tobytes()]), pa.array([np.diff(np.append(first, len(u))).astype(np.int32).tobytes()]),
-                    pa.array([x.words[x.w[at]].tobytes()]), pa.array([x.pair_counts[at].astype(np.int32).tobytes()]),
+                    pa.array([short(x.words[x.w[at]])]), pa.array([x.pair_counts[at].astype(np.int32).tobytes()]),
                 ], ["shard", "block", "u", "run", "w", "n"])
 
     return blocks.mapInArrow(run, "shard int, block long, u binary, run binary, w binary, n binary")
@@ -296,7 +310,7 @@ def leaves(requests: DataFrame, shards: int) -> DataFrame:
     def answer(batches):
         for shard, rows in _grouped(batches, "shard"):
             get = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-            us, runs, ws, ns = get("u", np.uint64), get("run", np.int32), get("w", np.uint64), get("n", np.int32)
+            us, runs, ws, ns = get("u", np.uint64), get("run", np.int32), [long(r["w"]) for r in rows], get("n", np.int32)
             contexts, of = np.unique(np.concatenate(us), return_inverse=True)
             home = np.repeat(of, np.concatenate(runs))
             words, dish = np.unique(np.concatenate(ws), return_inverse=True)
@@ -309,15 +323,15 @@ def leaves(requests: DataFrame, shards: int) -> DataFrame:
             tables = (D_LEAF * np.bincount(pairs[known] >> 32, mean, len(contexts))).astype(np.float32)
             at = at_u = 0
             for r, u, w in zip(rows, us, ws, strict=True):
-                yield _out(0, r["block"], shard, left[back[at : at + len(w)]], tables[of[at_u : at_u + len(u)]], 0)
+                yield _out(0, r["block"], shard, left[back[at : at + len(w)]].tobytes(), tables[of[at_u : at_u + len(u)]], 0)
                 at, at_u = at + len(w), at_u + len(u)
             up = np.bincount(pairs[known] & 0xFFFFFFFF, last, len(words)).astype(np.int64)
             some = np.flatnonzero(up)
             for k, i in _in_order((mix(words[some]) % np.uint64(shards)).astype(np.int64), shards):
-                yield _out(1, -1, k, words[some[i]], up[some[i]].astype(np.int32), int(up[some[i]].sum()))
+                yield _out(1, -1, k, short(words[some[i]]), up[some[i]].astype(np.int32), int(up[some[i]].sum()))
 
     def _out(kind, block, shard, a, b, total):
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block]), pa.array([shard], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()]), pa.array([total])], ["kind", "block", "shard", "a", "b", "total"])
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block]), pa.array([shard], pa.int32()), pa.array([a]), pa.array([b.tobytes()]), pa.array([total])], ["kind", "block", "shard", "a", "b", "total"])
 
     dealt = requests.repartition(shards, "shard").sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(answer, "kind int, block long, shard int, a binary, b binary, total long")
@@ -327,7 +341,7 @@ def word_requests(blocks: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for row in _rows(batches):
             x = Read(row, bigrams=False)
-            for k, at in _in_order((mix(x.words) % np.uint64(shards)).astype(np.int64), shards):
+            for k, at in _in_order((mix(x.words & _SHORT) % np.uint64(shards)).astype(np.int64), shards):
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([x.block]), pa.array([k], pa.int32()), pa.array([x.words[at].tobytes()]), pa.array([x.counts[at].astype(np.int32).tobytes()])], ["kind", "block", "shard", "a", "b"])
 
     return blocks.mapInArrow(run, "kind int, block long, shard int, a binary, b binary")
@@ -339,22 +353,26 @@ def roots(asked: DataFrame, tables: DataFrame, shards: int, customers: int) -> D
 
     def answer(batches):
         for shard, rows in _grouped(batches, "shard"):
-            words, back = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
-            count, up = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            at = 0
-            places = []
+            asking = [r for r in rows if r["kind"] == 0]
+            words, back = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in asking]), return_inverse=True)
+            count = np.zeros(len(words), np.int64)
+            at, places = 0, []
+            for r in asking:
+                i = back[at : at + len(r["a"]) // 8]
+                at += len(i)
+                count[i] += np.frombuffer(r["b"], np.int32)
+                places.append((r["block"], i))
+            names, of = np.unique(words & _SHORT, return_inverse=True)
+            up = np.zeros(len(names), np.int64)
             for r in rows:
-                n = len(r["a"]) // 8
-                i = back[at : at + n]
-                at += n
-                (count if r["kind"] == 0 else up)[i] += np.frombuffer(r["b"], np.int32)
-                if r["kind"] == 0:
-                    places.append((r["block"], i))
+                if r["kind"] == 1:
+                    np.add.at(up, np.searchsorted(names, long(r["a"])), np.frombuffer(r["b"], np.int32))
             known = np.flatnonzero(up)
             share = max(up.sum() / max(customers, 1), 1e-9)
             mean, _ = sample_root(up[known], share / (len(known) + share), share, 77 + shard)
-            left = np.zeros(len(words), np.float32)
+            left = np.zeros(len(names), np.float32)
             left[known] = up[known] - D_ROOT * mean
+            left = left[of]
             for block, i in places:
                 yield _out(block, shard, count[i].astype(np.int32), left[i], 0, 0, 0.0)
             yield _out(-1, shard, count[:0], left[:0], int(count.sum()), int((count > 0).sum()), float(mean.sum()))
@@ -373,18 +391,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     blocks = written(tokenized(docs, key, text), "blocks")
     hot = hot_words(blocks, shards)
     leaf = written(leaves(bigram_requests(blocks, shards, hot), shards), "leaves")
-    release(spark)
     tables = leaf.where("kind = 1")
     customers = tables.agg(F.sum("total")).first()[0] or 0
     root = written(roots(word_requests(blocks, shards), tables, shards, customers), "roots")
-    release(spark)
     said = root.where("block = -1").agg(F.sum("tokens"), F.sum("distinct"), F.sum("tables")).first()
     tokens, distinct, seated = int(said[0] or 0), int(said[1] or 0), float(said[2] or 0)
 
     def finish(batches):
         for _, rows in _grouped(batches, "block"):
             x = Read(next(r for r in rows if r["kind"] == 2))
-            shard_of = (mix(x.words) % np.uint64(shards)).astype(np.int64)
+            shard_of = (mix(x.words & _SHORT) % np.uint64(shards)).astype(np.int64)
             count, up = np.zeros(len(x.words), np.int64), np.zeros(len(x.words))
             word_at, pair_at = dict(_in_order(shard_of, shards)), dict(_in_order(x.shards(shards, hot), shards))
             left, pull = np.zeros(len(x.pairs)), np.full(len(x.words), S_LEAF)
