@@ -86,7 +86,7 @@ def accuracies(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     size = 3 * len(names)
     patterns = voted.groupBy(*names).agg(F.count("*").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*names).alias("v"), F.col("n").cast("double").alias("n")))).alias("pats"))
-    one = one.selectExpr("pats", "coalesce(aggregate(pats, 0D, (a, x) -> a + x.n), 0D) AS total")
+    one = one.selectExpr("pats", "greatest(coalesce(aggregate(pats, 0D, (a, x) -> a + x.n), 0D), 1D) AS total")
     # first guess: the prior
     q = [f"array({', '.join(f'{x}D' for x in v)})" for v in (VOTES_GOOD, VOTES_BAD)]
     w = f"{PRIOR_WEIGHT}D * total"
