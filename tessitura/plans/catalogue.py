@@ -159,50 +159,52 @@ def pair_hashes(spark, sf_dir):
     return _hashes(spark, sf_dir)
 
 
-def _index(spark, sf_dir):
-    return _hashes(spark, sf_dir).select(F.col("signal_id").alias("song_id"), "hash", "offset")
+def _as_index(hashes):
+    return hashes.select(F.col("signal_id").alias("song_id"), "hash", "offset")
 
 
-def _samples(spark, sf_dir):
-    return _hashes(spark, sf_dir).select(F.col("signal_id").alias("sample_id"), "hash", "offset", F.struct("offset", "hash").alias("entry_id"))
+def _both(spark, sf_dir):
+    """Samples and index from one plan of hashes, so that their exchanges are shared."""
+    hashes = _hashes(spark, sf_dir)
+    return hashes.select(F.col("signal_id").alias("sample_id"), "hash", "offset", F.struct("offset", "hash").alias("entry_id")), _as_index(hashes)
 
 
 @query(f"""WITH {_HASHES} SELECT hash, count(*) AS n_postings, string_agg(signal_id || ':' || "offset", ' ' ORDER BY signal_id, "offset") AS postings FROM hs GROUP BY hash HAVING count(*) <= 10000""")
 def posting_lists(spark, sf_dir):
     text = F.concat_ws(" ", F.transform("postings", lambda p: F.concat_ws(":", p["song_id"], p["offset"])))
-    return cons.posting_lists(_index(spark, sf_dir)).withColumn("postings", text)
+    return cons.posting_lists(_as_index(_hashes(spark, sf_dir))).withColumn("postings", text)
 
 
 @query(f"""WITH {_HASHES} SELECT signal_id AS song_id, hash, "offset" FROM hs QUALIFY count(*) OVER (PARTITION BY hash) <= {SMALL_CAP}""")
 def posting_cap(spark, sf_dir):
-    return cons.capped(_index(spark, sf_dir), "hash", SMALL_CAP).select("song_id", "hash", "offset")
+    return cons.capped(_as_index(_hashes(spark, sf_dir)), "hash", SMALL_CAP).select("song_id", "hash", "offset")
 
 
 @query(f"WITH {_VOTES} SELECT * FROM vt")
 def vote_counts(spark, sf_dir):
-    return cons.votes(_samples(spark, sf_dir), _index(spark, sf_dir))
+    return cons.votes(*_both(spark, sf_dir))
 
 
 @query(f"WITH {_VOTES} SELECT * FROM bd")
 def best_delta(spark, sf_dir):
-    return cons.best_delta(cons.votes(_samples(spark, sf_dir), _index(spark, sf_dir)))
+    return cons.best_delta(cons.votes(*_both(spark, sf_dir)))
 
 
 @query(f"WITH {_MATCH} SELECT sample_id, rank, song_id, round(score, 6) AS score, votes, delta FROM tk")
 def match_topk(spark, sf_dir):
-    return rounded(cons.match(_samples(spark, sf_dir), _index(spark, sf_dir), TOP), "score")
+    return rounded(cons.match(*_both(spark, sf_dir), TOP), "score")
 
 
 @query(f"WITH {_MATCH} SELECT sample_id, round(CASE WHEN max(score) FILTER (rank = 2) > 0 THEN max(score) FILTER (rank = 1) / max(score) FILTER (rank = 2) ELSE 0 END, 6) AS margin FROM tk GROUP BY sample_id")
 def match_margin(spark, sf_dir):
-    return rounded(cons.margins(cons.match(_samples(spark, sf_dir), _index(spark, sf_dir), TOP)), "margin")
+    return rounded(cons.margins(cons.match(*_both(spark, sf_dir), TOP)), "margin")
 
 
 @query(f"""WITH {_HASHES}, e AS (SELECT DISTINCT signal_id, "offset", hash FROM hs), n AS (SELECT signal_id, count(*) AS n FROM hs GROUP BY ALL),
 ag AS (SELECT s.signal_id AS sample_id, l.signal_id AS song_id, l."offset" - s."offset" AS delta, count(DISTINCT (s."offset", s.hash)) AS c FROM e s JOIN hs l ON l.hash = s.hash GROUP BY ALL)
 SELECT sample_id, song_id, round(least(max(c) / any_value(n.n), 1), 6) AS similarity FROM ag JOIN n ON n.signal_id = sample_id GROUP BY sample_id, song_id""")
 def pairwise_similarity(spark, sf_dir):
-    return rounded(cons.similarity(_samples(spark, sf_dir), _index(spark, sf_dir)), "similarity")
+    return rounded(cons.similarity(*_both(spark, sf_dir)), "similarity")
 
 
 # sub-bands -----------------------------------------------------------------------
