@@ -151,7 +151,7 @@ def sample_shard(c: np.ndarray, home: np.ndarray, dish: np.ndarray, seed: int) -
     homes, dishes = int(home.max()) + 1, int(dish.max()) + 1
     base = 1 / (dishes + 1)
     customers = np.bincount(dish, minlength=dishes).astype(float)
-    parent_t = np.minimum(customers, 1 + 0.3 * np.log(customers))
+    parent_t = np.minimum(customers, 1 + 0.3 * np.log(np.maximum(customers, 1)))
 
     parent_t = np.maximum(parent_t, 1)
 
