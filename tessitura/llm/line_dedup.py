@@ -108,9 +108,12 @@ def banded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def shingle_set(line: memoryview) -> np.ndarray:
-    """Sorted distinct shingle hashes of one line."""
-    hashes, _ = shingles(pa.array([bytes(line)], pa.large_binary()))
-    return np.unique(hashes)
+    """Sorted distinct shingles of one line, as they are: eight bytes are one integer."""
+    raw = bytes(line)
+    if len(raw) < SHINGLE:
+        raw = raw.ljust(SHINGLE, b"\xff")  # a byte that no text has
+    x = np.sort(np.ndarray((len(raw) - SHINGLE + 1,), "<u8", buffer=raw, strides=(1,)))
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 def lines_of(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
@@ -129,7 +132,7 @@ def lines_of(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), x.of(use).cast(pa.large_binary()).cast(pa.binary())], ["id", "set"])
 
     every = docs.select(text).mapInArrow(run, "id long, set binary")
-    return written(every.join(lines, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
+    return every.join(lines, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
