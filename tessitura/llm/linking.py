@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import written
+from tessitura.llm.common import discard, written
 
 BITMAP_BITS = 24
 #: rounds of drawn pivots; members of a block outside the main component, and of a block of all
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hang = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = written(hang.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, state = state, written(hang.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         # done when all are stars: each id hangs once, and no centre hangs
         ends = state.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("n")).distinct())
         left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("n > 1 OR n = 1 AND k > 1")
@@ -66,41 +67,50 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
     crowd = written(rows.join(buckets, "key").distinct(), "buckets")
 
+    sets = written(fetch(crowd.select("id").distinct()), "sets")
+    scratch = [crowd, sets]
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        scratch.append(written(df, what))
+        return scratch[-1]
+
     def linked(pairs: DataFrame) -> DataFrame:
-        near = written(screen(pairs) if screen else pairs, "pairs")
-        ids = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "id")
-        return written(verified(near, fetch(ids), per_cent, unpack), "links")
-
-    tested = written(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = linked(tested)
-    found = components(links)
-    for turn in range(TURNS):
-        mixed = _mixed(crowd, found)
-        # another pivot for each bucket, drawn by a hash, against the members of other components
-        draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
-        pairs = mixed.join(draw, "key").where("component != cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "stars")
-        if pairs.isEmpty():
+        near = kept(screen(pairs), "pairs") if screen else pairs
+        return kept(verified(near, sets, per_cent, unpack), "links")
+
+    try:
+        tested = kept(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+        links = linked(tested)
+        found = components(links)
+        for turn in range(TURNS):
+            mixed = kept(_mixed(crowd, found), "mixed")
+            # another pivot for each bucket, drawn by a hash, against the members of other components
+            draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
+            pairs = mixed.join(draw, "key").where("component != cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            pairs = kept(pairs.join(tested, ["a", "b"], "left_anti"), "stars")
+            if pairs.isEmpty():
+                return found
+            more = linked(pairs)
+            tested, links = tested.unionByName(pairs), links.unionByName(more)
+            if not more.isEmpty():
+                found = components(links)
+        mixed = kept(_mixed(crowd, found), "mixed")
+        if mixed.isEmpty():
             return found
-        more = linked(pairs)
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        if not more.isEmpty():
-            found = components(links)
-    mixed = _mixed(crowd, found)
-    if mixed.isEmpty():
-        return found
-    more = _exhausted(mixed, fetch, per_cent, unpack)
-    return found if more.isEmpty() else components(links.unionByName(more))
+        more = kept(_exhausted(mixed, sets, per_cent, unpack), "links")
+        return found if more.isEmpty() else components(links.unionByName(more))
+    finally:
+        discard(*scratch)
 
 
 def _mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (key, id, component) of the buckets that hold more than one component."""
     named = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
-    return written(named.join(mixed, "key"), "mixed")
+    return named.join(mixed, "key")
 
 
-def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
+def _exhausted(mixed: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
     """Links (a, b) between components, at least one for each two that share a bucket and are linked.
 
     Buckets that share members are one group.  In a group, the members outside its main
@@ -114,7 +124,6 @@ def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_ce
     sizes = member.groupBy("grp", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     main = main.select("grp", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
-    sets = fetch(member.select("id").distinct())
     full = written(member.join(main, "grp").join(sets, "id"), "group_sets")
     h = F.abs(F.xxhash64("id") % (1 << 40))
     every = F.explode(F.expr("transform(sequence(0, other - 1), i -> named_struct('i', i))")).alias("o")
@@ -133,7 +142,7 @@ def _exhausted(mixed: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_ce
 
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionByName(right).repartition(n, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "role")
-    return written(dealt.mapInArrow(run, "a long, b long"), "links")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _compared(rows: list[tuple], per_cent: int, unpack) -> pa.RecordBatch:

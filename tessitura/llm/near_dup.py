@@ -108,7 +108,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([hashes[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["id", "set"])
 
     every = docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL").mapInArrow(run, "id long, set binary")
-    return written(every.join(ids, "id", "left_semi").groupBy("id").agg(F.max("set").alias("set")), "sets")
+    return every.join(ids, "id", "left_semi").groupBy("id").agg(F.max("set").alias("set"))
 
 
 def sketched_alike(pairs: DataFrame, sketches: DataFrame, per_cent: int = PER_CENT, floor: float = SKETCH_FLOOR) -> DataFrame:
