@@ -264,8 +264,9 @@ def _grouped(batches, name: str) -> Iterator[tuple[int, list[dict]]]:
     at, held = None, []
     for row in _rows(batches):
         if held and row[name] != at:
-            yield at, held
-            held = []
+            whole, held = held, []
+            yield at, whole
+            whole.clear()
         at = row[name]
         held.append(row)
     if held:
@@ -311,20 +312,28 @@ def leaves(requests: DataFrame, shards: int) -> DataFrame:
         for shard, rows in _grouped(batches, "shard"):
             get = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
             us, runs, ws, ns = get("u", np.uint64), get("run", np.int32), [long(r["w"]) for r in rows], get("n", np.int32)
+            asked = [(r["block"], len(u), len(w)) for r, u, w in zip(rows, us, ws, strict=True)]
             contexts, of = np.unique(np.concatenate(us), return_inverse=True)
             home = np.repeat(of, np.concatenate(runs))
             words, dish = np.unique(np.concatenate(ws), return_inverse=True)
-            pairs, back = np.unique(home << 32 | dish, return_inverse=True)
-            c = np.bincount(back, np.concatenate(ns), len(pairs)).astype(np.int64)
+            n = np.concatenate(ns)
+            rows.clear()
+            del us, runs, ws, ns
+            home <<= 32
+            home |= dish
+            del dish
+            pairs, back = np.unique(home, return_inverse=True)
+            del home
+            c = np.bincount(back, n, len(pairs)).astype(np.int64)
             known = np.flatnonzero(c)
             mean, last = sample_shard(c[known], pairs[known] >> 32, pairs[known] & 0xFFFFFFFF, 1000 + shard)
             left = np.zeros(len(pairs), np.float32)
             left[known] = c[known] - D_LEAF * mean
             tables = (D_LEAF * np.bincount(pairs[known] >> 32, mean, len(contexts))).astype(np.float32)
             at = at_u = 0
-            for r, u, w in zip(rows, us, ws, strict=True):
-                yield _out(0, r["block"], shard, left[back[at : at + len(w)]].tobytes(), tables[of[at_u : at_u + len(u)]], 0)
-                at, at_u = at + len(w), at_u + len(u)
+            for block, n_u, n_w in asked:
+                yield _out(0, block, shard, left[back[at : at + n_w]].tobytes(), tables[of[at_u : at_u + n_u]], 0)
+                at, at_u = at + n_w, at_u + n_u
             up = np.bincount(pairs[known] & 0xFFFFFFFF, last, len(words)).astype(np.int64)
             some = np.flatnonzero(up)
             for k, i in _in_order((mix(words[some]) % np.uint64(shards)).astype(np.int64), shards):
