@@ -6,7 +6,7 @@ line if it is shorter.  Lines are linked if 100 * |intersection| >= 80 * |union|
 component the first line, by the smallest (document, line number), stays, the others go.
 
 ``BANDS`` bands of ``ROWS`` samples: a pair at the threshold is missed with probability
-(1 - 0.8 ** 4) ** 10 = 0.005, at 0.9 with 2e-5.  Candidates are confirmed on the full
+(1 - 0.8 ** 4) ** 20 = 2.7e-5, at 0.9 with 2e-10.  Candidates are confirmed on the full
 sets.  All further work is on 64-bit line hashes; texts are read twice more, to confirm
 and to rewrite.  Blank lines stay.  A document whose lines all go keeps an empty text; a
 null text stays null.  Rows with a null id take no part and stay as they are.  Rows that
@@ -27,7 +27,7 @@ from tessitura.llm.linking import bitmap, flagged, link
 from tessitura.llm.minhash import bands, signatures
 
 SHINGLE, PER_CENT = 8, 80
-ROWS, BANDS = 4, 10
+ROWS, BANDS = 4, 20
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _FACTORS = mix(np.arange(301, 301 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
