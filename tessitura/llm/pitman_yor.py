@@ -243,6 +243,26 @@ class Read:
             shard = (shard + (mix(h + np.uint64(1)).astype(np.int64)[self.w] & (2**62 - 1)) % spread) % n
         return shard
 
+    def asked(self, n: int, hot: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each shard with its distinct bigrams, the contexts it is asked for, and the bigrams of each.
+
+        All shards of a hot context are asked for its tables, also those that none of this block's bigrams is dealt to.
+        """
+        shard = self.shards(n, hot)
+        here = np.zeros(len(self.words), bool)
+        here[self.u] = True
+        wide: dict[int, list[int]] = {}
+        for i in np.flatnonzero(here).tolist() if hot else ():
+            x = int(self.words[i])
+            if x in hot:
+                for k in {(int(mix(self.words[i : i + 1])[0]) % n + j) % n for j in range(hot[x])}:
+                    wide.setdefault(k, []).append(i)
+        own = dict(_in_order(shard, n))
+        for k in sorted(own.keys() | wide.keys()):
+            at = own.get(k, np.empty(0, np.int64))
+            u = np.union1d(self.u[at], np.array(wide.get(k, []), np.int64))
+            yield k, at, u, np.bincount(np.searchsorted(u, self.u[at]), minlength=len(u))
+
 
 def _rows(batches) -> Iterator[dict]:
     for b in batches:
@@ -293,11 +313,9 @@ def bigram_requests(blocks: DataFrame, shards: int, hot: dict[int, int]) -> Data
     def run(batches):
         for row in _rows(batches):
             x = Read(row)
-            for k, at in _in_order(x.shards(shards, hot), shards):
-                u = x.u[at]
-                first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            for k, at, u, run_of in x.asked(shards, hot):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k], pa.int32()), pa.array([x.block]), pa.array([x.words[u[first]].tobytes()]), pa.array([np.diff(np.append(first, len(u))).astype(np.int32).tobytes()]),
+                    pa.array([k], pa.int32()), pa.array([x.block]), pa.array([x.words[u].tobytes()]), pa.array([run_of.astype(np.int32).tobytes()]),
                     pa.array([short(x.words[x.w[at]])]), pa.array([x.pair_counts[at].astype(np.int32).tobytes()]),
                 ], ["shard", "block", "u", "run", "w", "n"])
 
@@ -411,17 +429,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             x = Read(next(r for r in rows if r["kind"] == 2))
             shard_of = (mix(x.words & _SHORT) % np.uint64(shards)).astype(np.int64)
             count, up = np.zeros(len(x.words), np.int64), np.zeros(len(x.words))
-            word_at, pair_at = dict(_in_order(shard_of, shards)), dict(_in_order(x.shards(shards, hot), shards))
+            word_at, pair_at = dict(_in_order(shard_of, shards)), {k: (at, u) for k, at, u, _ in x.asked(shards, hot)}
             left, pull = np.zeros(len(x.pairs)), np.full(len(x.words), S_LEAF)
             for r in rows:
                 if r["kind"] == 1:
                     at = word_at[r["shard"]]
                     count[at], up[at] = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.float32)
                 elif r["kind"] == 0:
-                    at = pair_at[r["shard"]]
+                    at, u = pair_at[r["shard"]]
                     left[at] = np.frombuffer(r["a"], np.float32)
-                    u = x.u[at]
-                    pull[u[np.append(True, u[1:] != u[:-1])]] += np.frombuffer(r["b"], np.float32)
+                    pull[u] += np.frombuffer(r["b"], np.float32)
             parent = (up + (S_ROOT + D_ROOT * seated) / (distinct + 1)) / (S_ROOT + customers)
             p = (left + pull[x.u] * parent[x.w]) / (S_LEAF + count[x.u])
             sums = lambda v: np.add.reduceat(v, np.cumsum(x.sizes) - x.sizes)
