@@ -6,10 +6,11 @@ changed.  A hit names a document, an item and a diagonal (document position less
 position).  Around it the two texts are laid side by side and the best run is taken
 (+1 for an equal word, ``-MISS`` for a changed one).  A document is contaminated by an
 item if its runs, on diagonals at most ``SHIFT`` apart (words put in or left out), hold
-at least ``MIN_EQUAL`` equal words, or nine tenths of a shorter item.
+at least ``MIN_EQUAL`` equal words, or four fifths of a shorter item.
 
-Items of fewer than ``MIN_ITEM`` words never match; items shorter than a mask are sought
-as they are.  Benchmark items are the query set: they go to the tasks in slices of at
+The penalty is as large as the gain, so a run goes on while more than half of its words
+are equal.  Items of fewer than ``MIN_ITEM`` words never match; items no longer than a
+mask are also sought with any one word left out.  Benchmark items are the query set: they go to the tasks in slices of at
 most ``SLICE_BYTES`` of text, each checked before it is broadcast, one pass over the
 documents for each slice, so a benchmark of any size works in bounded memory.  All
 documents are searched, whole.  Null texts and items match nothing; repeated items and
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import Tokens, hash_strings, mix
 
 MASKS = ("11011011", "11100111", "10110111", "11111000", "11010101", "10011011")
-MIN_EQUAL, MIN_ITEM, MISS, SHIFT, SLICE_BYTES = 10, 5, 2, 4, 8_000_000
+MIN_EQUAL, MIN_ITEM, MISS, SHIFT, SLICE_BYTES = 10, 5, 1, 4, 8_000_000
 _ENDS = ".,;:!?\"'()[]{}*#$%&|<>"
 _SPAN = len(MASKS[0])
 _FACTORS = mix(np.arange(501, 501 + 16, dtype=np.uint64)) | np.uint64(1)
@@ -54,6 +55,12 @@ def window_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(g)
 
 
+def _masks(n: int) -> tuple[str, ...]:
+    """Masks for an item of ``n`` words; of up to a mask's length, any one word may be changed."""
+    one_out = tuple("1" * i + "0" + "1" * (n - i - 1) for i in range(n)) if n <= _SPAN else ()
+    return (MASKS if n >= _SPAN else ()) + one_out
+
+
 class Seeds:
     """Hashes of a slice of items, and their words for verification."""
 
@@ -62,7 +69,7 @@ class Seeds:
         self.items = [(i, h[s:e]) for i, s, e in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), strict=True) if e - s >= MIN_ITEM]
         self.masks, found = {}, {}
         for k, (_, w) in enumerate(self.items):
-            for mask in MASKS if len(w) >= _SPAN else ("1" * len(w),):
+            for mask in _masks(len(w)):
                 found.setdefault(mask, []).append((window_hashes(w, mask), k))
         for mask, x in found.items():
             hashes = np.concatenate([a for a, _ in x])
@@ -98,7 +105,7 @@ class Seeds:
             equal = words[a:b] == item[a - diagonal : b - diagonal]
             total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISS))))
             low = np.minimum.accumulate(total)
-            e = int(np.argmax(total - low))
+            e = len(total) - 1 - int(np.argmax((total - low)[::-1]))  # of equally good runs the longest
             s = int(np.argmax(total[: e + 1] == low[e]))
             if e > s:
                 runs.setdefault((d, k), []).append((diagonal, a + s, a + e, int(equal[s:e].sum())))
@@ -112,7 +119,7 @@ class Seeds:
                 if abs(r[0] - best[0]) <= SHIFT and abs(r[1] - best[1]) <= 2 * len(item) and all(r[2] <= c[1] or r[1] >= c[2] for c in chosen):
                     chosen.append(r)
             same = sum(r[3] for r in chosen)
-            if same >= min(MIN_EQUAL, -(-9 * len(item) // 10)):
+            if same >= min(MIN_EQUAL, -(-4 * len(item) // 5)):
                 first, last = min(r[1] for r in chosen), max(r[2] for r in chosen)
                 out.append((d, name, first, last - first, same))
         return out
