@@ -89,7 +89,7 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int
             pairs = mixed.join(draw, "key").where("component != cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
             pairs = kept(pairs.join(tested, ["a", "b"], "left_anti"), "stars")
             if pairs.isEmpty():
-                return found
+                continue  # these were tested already; other pairs may not be
             more = linked(pairs)
             tested, links = tested.unionByName(pairs), links.unionByName(more)
             if not more.isEmpty():
