@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests in local mode) a temporary folder stands in for it.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a temporary
+    folder stands in for it in local mode, and any other master is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -62,6 +65,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
+def number_of(df: DataFrame, key: str) -> Column:
+    """A long for each key: integers as they are, keys of other types by a 64-bit hash; null stays null."""
+    if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return F.col(quoted(key)).cast("long")
+    return F.when(F.col(quoted(key)).isNotNull(), F.xxhash64(quoted(key)))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

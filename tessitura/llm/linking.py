@@ -1,4 +1,4 @@
-"""Links within buckets, without all pairs: stars, exact verification, components.
+"""Links within buckets, without all pairs: stars, an inverted index of rare members, components.
 
 Candidate search puts ids into buckets.  Testing every pair of a bucket is quadratic,
 and needless where only components are asked for:
@@ -7,12 +7,22 @@ and needless where only components are asked for:
 2. *Components* of the links found (alternating large-star and small-star).
 3. *More stars*: buckets that still hold several components are tested around other
    pivots, drawn by a hash, between components only.
-4. *The rest*: what is still apart is compared in full, inside the tasks, in blocks.
+4. *Rare members*: what is still apart is put into new buckets.  Order the members of
+   every set by how common they are; two sets with a Jaccard similarity of at least t
+   share one of the first n - ceil(t * n) + 1 of either (prefix filter), so each id goes
+   to the buckets of its own rarest members.  Buckets of one component, and all but one
+   of the buckets with equal lists, go.  Unlike ids share common members only, so they
+   meet nowhere: the work follows the number of ids, not of pairs.
+5. Drawn pivots again, in these buckets; what is still apart in one of them is compared
+   inside the tasks, in blocks.
 
 A pair that shares a bucket is thus tested or already connected, so the components are
-those of testing all pairs.
-Hot buckets are split: aggregations are partial, joins are left to adaptive skew joins.
-Components and links never reach the driver.
+those of testing all pairs.  Step 5's blocks are the only work that can grow faster than
+the input, and only with ids that share a rare member without being linked.
+
+Hot buckets are split: the most frequent keys are found on a sample of the ids (a choice
+of plan, nothing is left out), their rows stay where they are and meet a short broadcast
+table.  Components and links never reach the driver.
 """
 
 from __future__ import annotations
@@ -24,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import discard, written
+from tessitura.llm.common import discard, mix, written
 
 BITMAP_BITS = 24
-#: rounds of drawn pivots; members of a block outside the main component, and of a block of all
-TURNS, OUTER, INNER = 2, 256, 2048
+#: rounds of drawn pivots in the first and in the rare buckets; sides of a block
+TURNS, RARE_TURNS, OUTER, INNER = 1, 3, 256, 8192
+#: at most HOT keys, of HOT_ROWS rows or more by a sample of one id in ONE_IN, are split
+HOT, HOT_ROWS, ONE_IN = 1000, 1024, 64
+#: a pivot with many partners is sent to this many places
+SALTS, ORDER_BITS = 32, 18
 
 
 def as_hashes(raw: memoryview) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and component (the smallest id reachable) for every id in ``edges`` (a, b)."""
+def components(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """id and component (the smallest id reachable) for every id in ``edges`` (a, b); its table is added to ``scratch``."""
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     state = written(ends, "edges")
     while True:
@@ -52,123 +66,242 @@ def components(edges: DataFrame) -> DataFrame:
         left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("n > 1 OR n = 1 AND k > 1")
         if left.isEmpty():
             break
+    scratch.append(state)
     roots = state.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None, unpack: Callable[[memoryview], np.ndarray] = as_hashes) -> DataFrame:
+# hot keys ------------------------------------------------------------------
+def frequent(rows: DataFrame, column: str = "key", by: str = "id") -> list[int]:
+    """The most frequent values of ``column``, at most ``HOT``, by the rows of one ``by`` in ``ONE_IN``."""
+    n = rows.where(f"pmod(xxhash64({by}), {ONE_IN}) = 0").groupBy(column).count()
+    return [r[0] for r in n.where(f"count * {ONE_IN} >= {HOT_ROWS}").orderBy(F.desc("count"), column).limit(HOT).collect()]
+
+
+def joined(rows: DataFrame, few: DataFrame, on: list[str], hot: list[int], column: str = "key") -> DataFrame:
+    """``rows`` joined with ``few`` (one row for each key): rows of hot keys stay in place and meet a broadcast of at most ``HOT`` rows."""
+    if not hot:
+        return rows.join(few, on)
+    there = F.col(column).isin(hot)
+    return rows.where(~there).join(few.where(~there), on).unionByName(rows.where(there).join(F.broadcast(few.where(there)), on))
+
+
+def crowded(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """key, id, pivot (the smallest id) of the buckets that hold more than one id; rows (key, id) may be repeated."""
+
+    def some(rows, split):
+        buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
+        return rows.join(F.broadcast(buckets) if split else buckets, "key")
+
+    if not hot:
+        return some(rows.repartition("key"), False).distinct()  # one exchange serves the counts, the join and the distinct rows
+    there = F.col("key").isin(hot)
+    return some(rows.where(~there).repartition("key"), False).distinct().unionByName(some(rows.where(there).distinct(), True))
+
+
+# search --------------------------------------------------------------------
+def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None, unpack: Callable[[memoryview], np.ndarray] = as_hashes, scratch: list[DataFrame] | None = None) -> DataFrame:
     """id and component of all ids that are linked to another.
 
     ``rows``: (key, id), any number of times.  ``fetch`` takes ids (id) and returns their
     sets (id, set: a binary that ``unpack`` turns into sorted distinct 64-bit hashes).
     ``screen`` may drop pairs (a, b) that can't be linked before their sets are compared.
+    Tables that the result still reads are added to ``scratch``, for the caller to discard.
     """
-    rows = rows.repartition("key")  # one exchange serves both the counts and the join
-    buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
-    crowd = written(rows.join(buckets, "key").distinct(), "buckets")
-
-    sets = written(fetch(crowd.select("id").distinct()), "sets")
-    scratch = [crowd, sets]
-
-    def kept(df: DataFrame, what: str) -> DataFrame:
-        scratch.append(written(df, what))
-        return scratch[-1]
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = kept(screen(pairs), "pairs") if screen else pairs
-        return kept(verified(near, sets, per_cent, unpack), "links")
-
+    search = _Search(per_cent, screen, unpack)
     try:
-        tested = kept(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-        links = linked(tested)
-        found = components(links)
-        for turn in range(TURNS):
-            mixed = kept(_mixed(crowd, found), "mixed")
-            # another pivot for each bucket, drawn by a hash, against the members of other components
-            draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
-            pairs = mixed.join(draw, "key").where("component != cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-            pairs = kept(pairs.join(tested, ["a", "b"], "left_anti"), "stars")
-            if pairs.isEmpty():
-                continue  # these were tested already; other pairs may not be
-            more = linked(pairs)
-            tested, links = tested.unionByName(pairs), links.unionByName(more)
-            if not more.isEmpty():
-                found = components(links)
-        mixed = kept(_mixed(crowd, found), "mixed")
-        if mixed.isEmpty():
-            return found
-        more = kept(_exhausted(mixed, sets, per_cent, unpack), "links")
-        return found if more.isEmpty() else components(links.unionByName(more))
+        hot = frequent(rows)
+        crowd = search.kept(crowded(rows, hot), "buckets")
+        search.sets = search.kept(fetch(crowd.select("id").distinct()), "sets")
+        search.stars(crowd)
+        search.drawn(crowd, hot, TURNS)
+        apart = search.kept(_mixed(crowd, search.found, hot).select("id", "component").distinct(), "apart")
+        if not apart.isEmpty():
+            rare = search.kept(_rare(apart, search.sets, per_cent, unpack), "rare")
+            if not rare.isEmpty():
+                hot = frequent(rare)
+                buckets = search.kept(crowded(rare, hot), "buckets")
+                search.drawn(buckets, hot, RARE_TURNS)
+                search.exhaust(_mixed(buckets, search.found, hot))
+        if scratch is not None:
+            scratch.extend(search.last)
+        return search.found
     finally:
-        discard(*scratch)
+        discard(*search.scratch)
+
+
+class _Search:
+    """Pairs tested, links and components found so far."""
+
+    def __init__(self, per_cent: int, screen, unpack):
+        self.per_cent, self.screen, self.unpack = per_cent, screen, unpack
+        self.scratch: list[DataFrame] = []
+        self.last: list[DataFrame] = []
+        self.sets = self.tested = self.links = self.found = None
+
+    def kept(self, df: DataFrame, what: str) -> DataFrame:
+        self.scratch.append(written(df, what))
+        return self.scratch[-1]
+
+    def test(self, pairs: DataFrame) -> None:
+        """Test pairs (a: pivot, b) that were not tested before."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            ends = lambda df: df.select("*", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            pairs = ends(pairs).join(ends(self.tested).select("lo", "hi").distinct(), ["lo", "hi"], "left_anti").select("a", "b")
+        pairs = self.kept(pairs, "stars")
+        if self.tested is not None and pairs.isEmpty():
+            return  # these were tested already; other pairs may not be
+        near = self.kept(self.screen(pairs), "pairs") if self.screen else pairs
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        self.add(verified(near, self.sets, self.per_cent, self.unpack))
+
+    def add(self, links: DataFrame) -> None:
+        links = self.kept(links, "links")
+        first = self.links is None
+        if not first and links.isEmpty():
+            return
+        # on top of what is connected already: one edge for each id
+        edges = links if first else links.unionByName(self.found.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a != b"))
+        self.links = links
+        old, self.last = self.last, []
+        self.found = components(edges, self.last)
+        discard(*old)
+
+    def stars(self, crowd: DataFrame) -> None:
+        self.test(crowd.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+
+    def drawn(self, crowd: DataFrame, hot: list[int], turns: int) -> None:
+        """Another pivot for each bucket, drawn by a hash, against the members of other components."""
+        for turn in range(turns):
+            mixed = self.kept(_mixed(crowd, self.found, hot), "mixed")
+            if mixed.isEmpty():
+                return
+            draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
+            self.test(joined(mixed, draw, ["key"], hot).where("component != cp").select(F.col("p").alias("a"), F.col("id").alias("b")))
 
+    def exhaust(self, mixed: DataFrame) -> None:
+        mixed = self.kept(mixed, "mixed")
+        if not mixed.isEmpty():
+            self.add(_blocks(mixed, self.sets, self.per_cent, self.unpack))
 
-def _mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
+
+def _mixed(crowd: DataFrame, found: DataFrame, hot: list[int]) -> DataFrame:
     """Rows (key, id, component) of the buckets that hold more than one component."""
     named = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
-    return named.join(mixed, "key")
+    return joined(named, mixed, ["key"], hot)
+
+
+def prefix_length(n: int, per_cent: int) -> int:
+    """Of two sets that are linked, either shares one of its first so many members with the other's."""
+    return n - -(-per_cent * n // 100) + 1
+
+
+def _rare(apart: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
+    """key (a member of the set) and id: the rarest members of each id of ``apart``, where they tell components apart."""
+    some = sets.join(apart, "id")
+    slots = 2**ORDER_BITS
+    low = np.uint64(slots - 1)
+
+    def counted(batches):
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                members = [unpack(raw.as_buffer()) for raw in b.column(0).slice(i, 1000)]
+                total += np.bincount((mix(np.concatenate(members)) & low).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
+    got = some.select("set").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** ORDER_BITS rows
+    common = np.zeros(slots, np.uint64)
+    common[got.column("slot").to_numpy()] = got.column("n").to_numpy().astype(np.uint64)
 
-def _exhausted(mixed: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
-    """Links (a, b) between components, at least one for each two that share a bucket and are linked.
+    def prefixes(batches):
+        for b in batches:
+            keys, sizes = [], []
+            for raw in b.column(2):
+                members = mix(unpack(raw.as_buffer()))
+                order = np.lexsort((members, common[(members & low).astype(np.int64)]))
+                keys.append(members[order[: prefix_length(len(members), per_cent)]])
+                sizes.append(len(keys[-1]))
+            if keys:
+                again = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(again), b.column(1).take(again)], ["key", "id", "component"])
+
+    rows = written(some.select("id", "component", "set").mapInArrow(prefixes, "key long, id long, component long"), "prefixes")
+    lists = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+    lists = lists.where("c != d").groupBy("n", "ids").agg(F.min("key").alias("key")).select("key")  # of equal lists one is enough
+    out = joined(rows.select("key", "id"), lists, ["key"], frequent(rows))
+    out = written(out, "rare")
+    discard(rows)
+    return out
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
+    """Links (a, b) between components: at least one for each two that share a bucket and are linked.
 
-    Buckets that share members are one group.  In a group, the members outside its main
-    component are compared with all members, block by block, inside the tasks: no pair
-    leaves a task but one link for each member and component.
+    In a bucket, the members outside its main component are compared with all members,
+    block by block, inside the tasks: no pair leaves a task but one link for each
+    member and component.
     """
-    first = mixed.groupBy("key").agg(F.min("id").alias("a"))
-    hang = mixed.join(first, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    group = components(hang).withColumnRenamed("component", "grp")
-    member = written(mixed.select("id", "component").distinct().join(group, "id"), "groups")
-    sizes = member.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    main = main.select("grp", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
-    full = written(member.join(main, "grp").join(sets, "id"), "group_sets")
+    sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    main = main.select("key", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
+    member = joined(mixed, main, ["key"], frequent(mixed))
     h = F.abs(F.xxhash64("id") % (1 << 40))
-    every = F.explode(F.expr("transform(sequence(0, other - 1), i -> named_struct('i', i))")).alias("o")
-    left = full.where("component != main").withColumns({"x": h % F.col("outer"), "other": F.col("inner")}).select("grp", F.lit(0).alias("role"), "id", "component", "set", "x", every).select("grp", "x", F.col("o.i").cast("long").alias("y"), "role", "id", "component", "set")
-    right = full.withColumns({"y": h % F.col("inner"), "other": F.col("outer")}).select("grp", F.lit(1).alias("role"), "id", "component", "set", "y", every).select("grp", F.col("o.i").cast("long").alias("x"), "y", "role", "id", "component", "set")
+    every = F.explode(F.expr("sequence(0, other - 1)")).alias("o")
+    left = member.where("component != main").withColumns({"x": h % F.col("outer"), "other": F.col("inner")}).select("key", F.lit(0).alias("role"), "id", "component", "x", every).select("key", "x", F.col("o").cast("long").alias("y"), "role", "id", "component")
+    right = member.withColumns({"y": h % F.col("inner"), "other": F.col("outer")}).select("key", F.lit(1).alias("role"), "id", "component", "y", every).select("key", F.col("o").cast("long").alias("x"), "y", "role", "id", "component")
 
     def run(batches):
-        at, held = None, []
+        at, outer = None, None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] != at:
-                    yield _compared(held, per_cent, unpack)
-                    at, held = row[:3], []
-                held.append(row[3:])
-        yield _compared(held, per_cent, unpack)
-
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionByName(right).repartition(n, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "role")
+            out = []
+            for *cell, role, name, component, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cell != at:
+                    at, outer = cell, _Outer()
+                if role == 0:
+                    outer.add(name, component, unpack(raw))
+                else:
+                    out += outer.compare(name, component, unpack(raw), per_cent)
+            p, q = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
+
+    dealt = left.unionByName(right).join(sets, "id").select("key", "x", "y", "role", "id", "component", "set").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _compared(rows: list[tuple], per_cent: int, unpack) -> pa.RecordBatch:
-    """One link for each left member and other component among the right ones; rows: (role, id, component, set)."""
-    out = []
-    outer = [r for r in rows if r[0] == 0]
-    inner = [r for r in rows if r[0] == 1]
-    if outer and inner:
-        sets = [unpack(r[3]) for r in outer]
-        owner, hashes = np.repeat(np.arange(len(outer)), [len(s) for s in sets]), np.concatenate(sets)
-        order = np.argsort(hashes, kind="stable")
-        owner, hashes = owner[order], hashes[order]
-        sizes, own = np.array([len(s) for s in sets]), np.array([r[2] for r in outer])
-        done = set()
-        for _, name, component, raw in inner:
-            x = unpack(raw)
-            lo, hi = np.searchsorted(hashes, x), np.searchsorted(hashes, x, side="right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            same = np.bincount(owner[at], minlength=len(outer))
-            for i in np.flatnonzero((100 * same >= per_cent * (sizes + len(x) - same)) & (own != component)).tolist():
-                if (i, component) not in done:
-                    done.add((i, component))
-                    out.append((min(outer[i][1], name), max(outer[i][1], name)))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+class _Outer:
+    """The outer members of a cell of a bucket (at most some ``OUTER``); the inner ones stream past."""
+
+    def __init__(self):
+        self.names, self.components, self.sets, self.done, self.sorted = [], [], [], set(), None
+
+    def add(self, name: int, component: int, members: np.ndarray) -> None:
+        self.names.append(name)
+        self.components.append(component)
+        self.sets.append(members)
+
+    def compare(self, name: int, component: int, x: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
+        """One link for each outer member and other component."""
+        if not self.sets:
+            return []
+        if self.sorted is None:
+            owner, hashes = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets]), np.concatenate(self.sets)
+            order = np.argsort(hashes, kind="stable")
+            self.sorted = owner[order], hashes[order], np.array([len(s) for s in self.sets]), np.array(self.components)
+        owner, hashes, sizes, own = self.sorted
+        lo, hi = np.searchsorted(hashes, x), np.searchsorted(hashes, x, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(sizes))
+        out = []
+        for i in np.flatnonzero((100 * same >= per_cent * (sizes + len(x) - same)) & (own != component)).tolist():
+            if (i, component) not in self.done:
+                self.done.add((i, component))
+                out.append((min(self.names[i], name), max(self.names[i], name)))
+        return out
 
 
 def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -190,26 +323,39 @@ def flagged(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (flags[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
 
 
+def alike(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
+    """100 * intersection >= per_cent * union, of sorted distinct hashes."""
+    if 100 * min(len(p), len(q)) < per_cent * max(len(p), len(q)):
+        return False
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= per_cent * (len(both) - same)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray] = as_hashes) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= per_cent * union.
+    """The pairs (a: pivot, b) whose sets have 100 * intersection >= per_cent * union.
 
-    ``sets``: id and a binary that ``unpack`` turns into sorted distinct 64-bit hashes.
+    ``sets``: id and a binary that ``unpack`` turns into sorted distinct 64-bit hashes.  The
+    pivot's set comes once for all its partners, or up to ``SALTS`` times if it has many.
     """
 
     def run(batches):
+        at, pivot = None, None
         for x in batches:
-            a, b = x.column(2), x.column(3)
-            good = np.zeros(x.num_rows, bool)
-            for i in range(x.num_rows):
-                p, q = unpack(a[i].as_buffer()), unpack(b[i].as_buffer())
-                if 100 * min(len(p), len(q)) < per_cent * max(len(p), len(q)):
-                    continue
-                both = np.concatenate((p, q))
-                both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good[i] = 100 * same >= per_cent * (len(both) - same)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
-
-    one, two = (sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+            a, s, b, raw = x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3)
+            out = []
+            for i, name in enumerate(zip(a, s, strict=True)):
+                members = unpack(raw[i].as_buffer())
+                if b[i] is None:
+                    at, pivot = name, members.copy()
+                elif name == at and alike(pivot, members, per_cent):
+                    out.append((a[i], b[i]))
+            p, q = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
+
+    salted = pairs.select("a", F.expr(f"pmod(xxhash64(b), {SALTS})").cast("int").alias("s"), "b")
+    partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "s", "b", "set")
+    pivots = salted.select("a", "s").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "s", F.lit(None).cast("long").alias("b"), "set")
+    dealt = pivots.unionByName(partners).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")

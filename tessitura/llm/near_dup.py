@@ -12,9 +12,15 @@ nothing.  Two documents are linked if 100 * |intersection| >= 75 * |union|.
   ``SKETCH_FLOOR`` are dropped: at the threshold that is some six standard deviations off.
 * All others are confirmed on the full sets, read again from the texts.
 
-``linking`` keeps groups of any size linear.  Shingles are compared by 64-bit hashes.
-Null texts count as empty, repeated ids are one document with the set of any of its
-rows, other columns are ignored.
+``linking`` tests stars, then shares of rare shingles, never all pairs of a group, and
+splits hot buckets.  Shingles are compared by 64-bit hashes.
+
+Defined results: null and empty texts have no shingles and are linked with nothing; a
+null key is linked with nothing and has a null component; rows with equal keys are one
+document, for which the largest of their sets stands, and each row is reported; ties (equal
+sets) go to the smallest key; keys may be of any type that can be ordered; very long
+texts are taken whole, some at a time; other columns are ignored by ``near_duplicates``
+and carried by ``keep_first``, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, hash_strings, mix, written
-from tessitura.llm.linking import bitmap, flagged, link
+from tessitura.llm.common import Tokens, discard, free_name, hash_strings, mix, number_of, quoted, written
+from tessitura.llm.linking import HOT, HOT_ROWS, bitmap, flagged, joined, link
 from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signatures
 
 WORDS, PER_CENT = 5, 75
@@ -93,7 +99,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     pa.ListArray.from_arrays(offsets, pa.array(some.ravel())), pa.array([next(odd).tobytes() if m else None for m in n], pa.binary()),
                 ], ["id", "n_shingles", "print_a", "print_b", "bands", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary")
+    return docs.select(number_of(docs, key).alias("id"), quoted(text)).mapInArrow(run, "id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -105,10 +111,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
             b = b.filter(pa.array(flagged(flags, b.column(0).to_numpy())))
             for i, j in _slices(b.column(1)):
                 hashes, starts = shingles(b.column(1).slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([hashes[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["id", "set"])
+                spans = [slice(s, e) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                prints = np.array([mix(hashes[x] + np.uint64(1)).sum(dtype=np.uint64) for x in spans], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([hashes[x].tobytes() for x in spans], pa.binary()), pa.array(prints)], ["id", "set", "print"])
 
-    every = docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL").mapInArrow(run, "id long, set binary")
-    return every.join(ids, "id", "left_semi").groupBy("id").agg(F.max("set").alias("set"))
+    every = docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "id long, set binary, print long")
+    return every.join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("set", F.struct(F.octet_length("set"), "print")).alias("set"))
 
 
 def sketched_alike(pairs: DataFrame, sketches: DataFrame, per_cent: int = PER_CENT, floor: float = SKETCH_FLOOR) -> DataFrame:
@@ -125,30 +133,66 @@ def sketched_alike(pairs: DataFrame, sketches: DataFrame, per_cent: int = PER_CE
     return near.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (long), n_shingles, component_id, kept for every document."""
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, n_shingles and component (both internal numbers) of every row with an id."""
     every = written(sketch(docs, key, text), "sketches")
     same = ["print_a", "print_b", "n_shingles"]
-    first = every.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"))
-    member = written(every.select("id", *same).join(first, same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-    lone = written(every.join(member.where("id = rep").select("id"), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "bands", "sketch"), "representatives")
+    known = every.where("id IS NOT NULL")
+    # rows with one id: the largest set stands for all of them
+    again = written(known.groupBy("id").agg(F.count("*").alias("rows"), F.max(F.struct(*same[::-1][:1], *same[:2])).alias("s")).where("rows > 1").select("id", *(F.col(f"s.{c}").alias(f"of_{c}") for c in same)), "again")
+    if not again.isEmpty():
+        known = known.join(again, "id", "left").where("of_n_shingles IS NULL OR n_shingles = of_n_shingles AND print_a = of_print_a AND print_b = of_print_b").drop(*(f"of_{c}" for c in same)).dropDuplicates(["id"])
+    copies = written(known.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    hot = [r[0] for r in copies.where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), "print_a").limit(HOT).select("print_a").collect()]
+    twins = joined(known.select("id", *same), copies.drop("n"), same, hot, "print_a").select("id", "n_shingles", "rep")
+    twins = written(twins, "twins")
+    lone = known.where("n_shingles > 0").join(twins.where("id != rep").select("id").distinct(), "id", "left_anti")
+    lone = written(lone.select("id", "n_shingles", "bands", "sketch"), "representatives")
     sketches = lone.select("id", "n_shingles", "sketch")
 
+    scratch: list[DataFrame] = []
     found = link(
         lone.select(F.explode("bands").alias("key"), "id"),
         lambda ids: sets_of(docs, ids, key, text),
         PER_CENT,
         lambda pairs: sketched_alike(pairs, sketches),
+        scratch=scratch,
     )
-    out = member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    member = every.select("id", "n_shingles").join(twins.select("id", "rep"), "id", "left")
+    member = member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    hot = [r[0] for r in copies.where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), "print_a").limit(HOT).select("rep").distinct().collect()]
+    few = found.withColumnRenamed("id", "rep")
+    lost = member.where("rep IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    there = F.coalesce(F.col("rep").isin(hot), F.lit(False)) if hot else F.lit(False)
+    cold = member.where(F.col("rep").isNotNull() & ~there).join(few, "rep", "left")
+    warm = member.where(there).join(F.broadcast(few.where(F.col("rep").isin(hot))), "rep", "left") if hot else None
+    both = cold if warm is None else cold.unionByName(warm)
+    out = written(both.select("id", "n_shingles", F.coalesce("component", "rep").alias("component")).unionByName(lost), "classes")
+    discard(every, again, copies, twins, lone, *scratch)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (the smallest key of the component), kept for every row.
+
+    Integer keys become long; keys of other types stay as they are.
+    """
+    out = _classes(docs, key, text)
+    if docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        out = out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"))
+    else:
+        names = docs.select(F.col(quoted(key)).alias("_key"), number_of(docs, key).alias("id")).where("id IS NOT NULL").distinct()
+        out = out.join(names, "id", "left")
+        first = out.groupBy("component").agg(F.min("_key").alias("component_id"))
+        out = out.join(first, "component", "left").select(F.col("_key").alias(key), "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col(quoted(key)) == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component."""
-    gone = near_duplicates(docs, key, text).where("NOT kept").select(F.col(key).alias("_key"))
-    return docs.join(gone, docs[key] == gone["_key"], "left_anti")
+    """The rows of ``docs`` whose document is the first of its component; rows with a null key stay."""
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, key, text).where("NOT kept").select(F.col(quoted(key)).alias(name)).distinct()
+    return docs.join(gone, F.col(quoted(key)) == F.col(name), "left_anti")
 
 
 def query(docs: DataFrame) -> DataFrame:
