@@ -1,35 +1,56 @@
 """Fuzzy deduplication of lines: MinHash of character shingles, exact Jaccard, components.
 
 Lines (cut at ``\\n``) with a character other than white space take part; equal lines
-are one.  A line's set: its distinct shingles of ``SHINGLE`` UTF-8 bytes, or the whole
-line if it is shorter.  Lines are linked if 100 * |intersection| >= 80 * |union|; of each
-component the first line, by the smallest (document, line number), stays, the others go.
-
-``BANDS`` bands of ``ROWS`` samples: a pair at the threshold is missed with probability
-(1 - 0.8 ** 4) ** 20 = 2.7e-5, at 0.9 with 2e-10.  Candidates are confirmed on the full
-sets.  All further work is on 64-bit line hashes; texts are read twice more, to confirm
-and to rewrite.  Blank lines stay.  A document whose lines all go keeps an empty text; a
-null text stays null.  Rows with a null id take no part and stay as they are.  Rows that
-share an id are told apart by a hash of their text; equal rows with one id stay equal.
-Other columns are carried along.
+are one.  A line's set: its distinct shingles of so many code points, by its length:
+
+* short lines, of up to ``SHORT_TO`` code points: shingles of 5, linked if
+  100 * |intersection| >= 65 * |union|.  A changed character leaves a line of 28 code
+  points linked, a changed word of six letters one of 51;
+* long lines, of ``LONG_FROM`` and more: shingles of 8, at 80 per cent.  Shorter shingles
+  are shared by long lines that have nothing in common but their language.
+
+Lines between the two limits are in both classes, and two lines are linked if they are by
+either rule, so there is no border that a pair falls through: of two lines at 80 per
+cent, one of them beyond ``SHORT_TO``, the other has at least ``LONG_FROM`` (unless it
+repeats itself).  Lines of fewer than five code points are linked with equal lines
+only.  Of each component the first line, by the smallest (document, line number), stays,
+the others go.
+
+Bands of four samples: a pair at the threshold is missed with probability
+(1 - 0.8 ** 4) ** 20 = 2.7e-5 (long) or (1 - 0.65 ** 4) ** 40 = 3.8e-4 (short); at 0.9
+and 0.75 with 2e-10 and 2.5e-7.  Candidates are confirmed on the full sets.  All further
+work is on 64-bit line hashes; texts are read twice more, to confirm and to rewrite.
+
+Defined results: blank lines stay; a document whose lines all go keeps an empty text; a
+null text stays null; rows with a null key take no part and stay as they are; rows that
+share a key are told apart by a hash of their text, and equal rows with one key stay
+equal; ties in the place of a line go to the smallest key, then line number; keys may be
+integers (in their order) or of any other type (in the order of a hash); long texts are
+cut into their lines, of any length; other columns are carried along, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import hash_strings, mix, written
-from tessitura.llm.linking import bitmap, flagged, link
+from tessitura.llm.common import discard, hash_strings, mix, number_of, quoted, written
+from tessitura.llm.linking import HOT, HOT_ROWS, bitmap, components, flagged, joined, link
 from tessitura.llm.minhash import bands, signatures
 
-SHINGLE, PER_CENT = 8, 80
-ROWS, BANDS = 4, 20
+SHORT_TO, LONG_FROM = 130, 104
+#: rule: code points in a shingle, per cent, bands of ROWS samples
+RULES = {"short": (5, 65, 40), "long": (8, 80, 20)}
+ROWS = 4
 _BLANK = r"^[\x20\x09-\x0D]*$"
-_FACTORS = mix(np.arange(301, 301 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix(np.arange(301, 305, dtype=np.uint64)) | np.uint64(1)
+_OTHER = np.uint64(0x9E6C63D0876A9A47)
 
 
 class Lines:
@@ -44,6 +65,7 @@ class Lines:
         self.which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.lines = coded.dictionary
         self.blank = pc.match_substring_regex(self.lines, _BLANK).to_numpy(zero_copy_only=False)
+        self.size = pc.utf8_length(self.lines).to_numpy(zero_copy_only=False).astype(np.int64)
         self.hash = hash_strings(self.lines).view(np.int64)
         self.counts = np.diff(offsets)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
@@ -53,27 +75,39 @@ class Lines:
         return self.lines.take(pa.array(some))
 
 
-def shingles(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (repeats stay) of non-empty lines, and starts (one more than lines)."""
-    size = pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer(b"".join(lines.cast(pa.large_binary()).to_pylist()), np.uint8)
-    start = np.concatenate(([0], np.cumsum(size)))
-    # eight bytes as one integer, scrambled
-    n = len(raw)
-    wide = np.zeros(n + SHINGLE, np.uint8)
-    wide[:n] = raw
-    h = mix(np.lib.stride_tricks.sliding_window_view(wide, SHINGLE)[:n].copy().view("<u8").ravel() * _FACTORS[0])
-    keep = np.maximum(size - SHINGLE + 1, 1)
-    short = np.flatnonzero(size < SHINGLE)
-    h[start[short]] = mix(hash_strings(lines.take(pa.array(short))) ^ np.uint64(99))
-    inside = np.zeros(n + 1, np.int64)
-    inside[start[:-1]] += 1
-    ends = start[:-1] + keep
-    inside[ends] -= 1
-    return h[np.cumsum(inside[:n]) > 0], np.concatenate(([0], np.cumsum(keep)))
-
-
-def _blocks(sizes: np.ndarray, most: int = 4_000_000):
+def in_rule(rule: str, size: np.ndarray) -> np.ndarray:
+    """Whether lines of ``size`` code points are in the class of ``rule``."""
+    return (size >= RULES["short"][0]) & (size <= SHORT_TO) if rule == "short" else size >= LONG_FROM
+
+
+def node(line: np.ndarray, size: np.ndarray, rule: str) -> np.ndarray:
+    """Id of a line in the class of ``rule``: its hash, but for the long one of a line in both classes."""
+    both = (size <= SHORT_TO) & (size >= LONG_FROM) & (rule == "long")
+    return np.where(both, mix(line.view(np.uint64) ^ _OTHER).view(np.int64), line)
+
+
+def windows(points: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` (5 or 8) code points from each place, but for the last ones."""
+    h = points.astype(np.uint64)
+    two = h[:-1] * _FACTORS[0] + h[1:]
+    four = two[:-2] * _FACTORS[1] + two[2:]
+    out = four[:-1] * _FACTORS[2] + h[4:] if width == 5 else four[:-4] * _FACTORS[3] + four[4:]
+    return mix(out ^ np.uint64(width))
+
+
+def shingles(lines: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (repeats stay) of lines of at least ``width`` code points, and starts (one more than lines)."""
+    size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = b"".join(lines.cast(pa.large_binary()).to_pylist()).decode().encode("utf-32-le")
+    h = windows(np.frombuffer(raw, np.uint32), width)
+    inside = np.ones(int(size.sum()), bool)
+    ends = np.cumsum(size)
+    for i in range(1, width):  # windows that would reach into the next line
+        inside[ends - i] = False
+    return h[inside[: len(h)]], np.concatenate(([0], np.cumsum(size - width + 1)))
+
+
+def _blocks(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     total, i = np.cumsum(sizes), 0
     while i < len(sizes):
         before = total[i - 1] if i else 0
@@ -82,102 +116,131 @@ def _blocks(sizes: np.ndarray, most: int = 4_000_000):
         i = j
 
 
+def _of_batch(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
+    for i, j in _blocks(np.array([v or 0 for v in pc.binary_length(texts).to_pylist()], np.int64)):
+        yield i, j, Lines(texts.slice(i, j - i))
+
+
 def banded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """line (hash), id and number of its first place in the batch, keys array<long>; n (times in the batch); one row for each line of a batch."""
+    """One row for each line and class of a batch: line (hash), node, id and number of its first place in the batch, n (times there), keys array<long>."""
+
+    def rows(x: Lines, ids: np.ndarray, use: np.ndarray, rule: str | None) -> pa.RecordBatch:
+        # the first place: lines are in the order of the batch, ids may not be
+        order = np.lexsort((x.number, ids[x.doc], x.which))
+        first = order[np.append(True, x.which[order][1:] != x.which[order][:-1])][use]
+        if rule:
+            width, _, n_bands = RULES[rule]
+            hashes, starts = shingles(x.of(use), width)
+            keys = bands(signatures(hashes, starts[:-1], ROWS * n_bands, seed=11), ROWS).astype(np.int64)
+            keys = pa.ListArray.from_arrays((np.arange(len(use) + 1) * n_bands).astype(np.int32), pa.array(keys.ravel()))
+            name = node(x.hash[use], x.size[use], rule)
+        else:
+            keys, name = pa.nulls(len(use), pa.list_(pa.int64())), x.hash[use]
+        counts = np.bincount(x.which, minlength=len(x.lines))[use].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x.hash[use]), pa.array(name), pa.array(ids[x.doc[first]]), pa.array(x.number[first].astype(np.int32)), pa.array(counts), keys], ["line", "node", "id", "number", "n", "keys"])
 
     def run(batches):
         for b in batches:
-            texts = b.column(1)
             ids = b.column(0).to_numpy()
-            for i, j in _blocks(np.array([v or 0 for v in pc.binary_length(texts).to_pylist()], np.int64)):
-                x = Lines(texts.slice(i, j - i))
-                use = np.flatnonzero(~x.blank)
-                if not len(use):
-                    continue
-                # the first place: lines are in the order of the batch, ids may not be
-                order = np.lexsort((x.number, ids[i:j][x.doc], x.which))
-                first = order[np.append(True, x.which[order][1:] != x.which[order][:-1])]
-                first = first[use]
-                lines = x.of(use)
-                hashes, starts = shingles(lines)
-                keys = bands(signatures(hashes, starts[:-1], ROWS * BANDS, seed=11), ROWS).astype(np.int64)
-                offsets = (np.arange(len(use) + 1) * BANDS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), pa.array(ids[i:j][x.doc[first]]), pa.array(x.number[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(np.bincount(x.which, minlength=len(x.lines))[use].astype(np.int64))], ["line", "id", "number", "keys", "n"])
-
-    return docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL").mapInArrow(run, "line long, id long, number int, keys array<long>, n long")
-
-
-def shingle_set(line: memoryview) -> np.ndarray:
-    """Sorted distinct shingles of one line, as they are: eight bytes are one integer."""
-    raw = bytes(line)
-    if len(raw) < SHINGLE:
-        raw = raw.ljust(SHINGLE, b"\xff")  # a byte that no text has
-    x = np.sort(np.ndarray((len(raw) - SHINGLE + 1,), "<u8", buffer=raw, strides=(1,)))
-    return x[np.append(True, x[1:] != x[:-1])]
-
-
-def lines_of(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """id (line hash) and set (the line itself, an eighth of its hashes) for the lines of ``lines`` (id)."""
-    flags = bitmap(lines, "id")
+            for i, j, x in _of_batch(b.column(1)):
+                for rule in RULES:
+                    use = np.flatnonzero(~x.blank & in_rule(rule, x.size))
+                    if len(use):
+                        yield rows(x, ids[i:j], use, rule)
+                tiny = np.flatnonzero(~x.blank & (x.size < RULES["short"][0]))
+                if len(tiny):
+                    yield rows(x, ids[i:j], tiny, None)
+
+    return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, node long, id long, number int, n long, keys array<long>")
+
+
+def shingle_set(raw: memoryview) -> tuple[np.ndarray, int]:
+    """Sorted distinct shingles of a line, and the per cent to share; the first byte names the rule."""
+    width, per_cent, _ = list(RULES.values())[raw[0]]
+    x = windows(np.frombuffer(bytes(raw[1:]).decode().encode("utf-32-le"), np.uint32), width)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])], per_cent
+
+
+def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """id (node) and set (a byte for the rule, and the line: an eighth of its hashes) for the nodes of ``nodes`` (id)."""
+    flags = bitmap(nodes, "id")
 
     def run(batches):
-        sent = np.empty(0, np.int64)  # lines of this task that have gone out, so that common lines go once
+        sent = np.empty(0, np.int64)  # nodes of this task that have gone out, so that common lines go once
         for b in batches:
-            texts = b.column(0)
-            for i, j in _blocks(np.array([v or 0 for v in pc.binary_length(texts).to_pylist()], np.int64)):
-                x = Lines(texts.slice(i, j - i))
-                use = np.flatnonzero(~x.blank & flagged(flags, x.hash) & ~np.isin(x.hash, sent))
-                if len(use):
-                    sent = np.concatenate((sent, x.hash[use]))[-1_000_000:]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), x.of(use).cast(pa.large_binary()).cast(pa.binary())], ["id", "set"])
+            for _, _, x in _of_batch(b.column(0)):
+                for byte, rule in enumerate(RULES):
+                    use = np.flatnonzero(~x.blank & in_rule(rule, x.size))
+                    name = node(x.hash[use], x.size[use], rule)
+                    there = flagged(flags, name) & ~np.isin(name, sent)
+                    use, name = use[there], name[there]
+                    if len(use):
+                        sent = np.concatenate((sent, name))[-1_000_000:]
+                        head = bytes([byte])
+                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([head + line for line in x.of(use).cast(pa.large_binary()).to_pylist()], pa.binary())], ["id", "set"])
 
-    every = docs.select(text).mapInArrow(run, "id long, set binary")
-    return every.join(lines, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    every = docs.select(quoted(text)).mapInArrow(run, "id long, set binary")
+    return every.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """line (hash), class (a line hash), keep_id and keep_number (where the class stays), for lines with company.
+    """line (hash), n (times), keep_id and keep_number (where its class stays), for lines with company; written.
 
     Lines that occur once and are like no other have no row.
     """
     rows = written(banded(docs, key, text), "lines")
-
-    linked = link(rows.select(F.explode("keys").alias("key"), F.col("line").alias("id")), lambda ids: lines_of(docs, ids, text), PER_CENT, unpack=shingle_set)
-    linked = linked.select(F.col("id").alias("line"), F.col("component").alias("class"))
-    places = rows.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.sum("n").alias("n"))
-    places = places.join(linked, "line", "left").where("n > 1 OR class IS NOT NULL").select("line", F.coalesce("class", "line").alias("class"), "first")
+    scratch = [rows]
+    found = link(rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("node").alias("id")), lambda ids: lines_of(docs, ids, text), shingle_set, scratch=scratch)
+    # the two nodes of a line in both classes are one
+    pairs = rows.where("node != line").select("line", F.col("node").alias("id")).join(found, "id", "left_semi").distinct()
+    scratch.append(written(pairs, "bridges"))
+    if not scratch[-1].isEmpty():
+        bridges = scratch[-1].select(F.col("line").alias("a"), F.col("id").alias("b"))
+        found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a != b").unionByName(bridges), scratch)
+    linked = found.select(F.col("id").alias("line"), F.col("component").alias("class"))
+    # a line in both classes has two rows for each of its places: count the one that has its own hash
+    places = rows.where("node = line").groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.sum("n").alias("n"))
+    places = places.join(linked, "line", "left").where("n > 1 OR class IS NOT NULL").select("line", F.coalesce("class", "line").alias("class"), "first", "n")
     places = written(places, "places")
+    hot = [r[0] for r in places.groupBy("class").count().where(f"count >= {HOT_ROWS}").orderBy(F.desc("count"), "class").limit(HOT).collect()]
     best = places.groupBy("class").agg(F.min("first").alias("first"))
-    return places.select("line", "class").join(best, "class").select("line", "class", F.col("first.id").alias("keep_id"), F.col("first.number").alias("keep_number"))
+    out = joined(places.select("line", "class", "n"), best, ["class"], hot, "class")
+    out = written(out.select("line", "n", F.col("first.id").alias("keep_id"), F.col("first.number").alias("keep_number")), "classes")
+    discard(places, *scratch)
+    return out
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, mark (hash of the text), numbers array<int>: the lines that go, for documents that lose any."""
-    classes = written(line_classes(docs, key, text), "classes")
+    """id, mark (hash of the text), numbers array<int>: the lines that go, for documents that lose any; written."""
+    classes = line_classes(docs, key, text)
     flags = bitmap(classes, "line")
+    hot = [r[0] for r in classes.where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), "line").limit(HOT).select("line").collect()]
 
     def run(batches):
         for b in batches:
-            ids, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            for i, j in _blocks(np.array([v or 0 for v in pc.binary_length(texts).to_pylist()], np.int64)):
-                x = Lines(texts.slice(i, j - i))
+            ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j, x in _of_batch(b.column(2)):
                 use = np.flatnonzero((~x.blank & flagged(flags, x.hash))[x.which])
                 doc = x.doc[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x.hash[x.which[use]]), pa.array(ids[i:j][doc]), pa.array(marks[i:j][doc]), pa.array(x.number[use].astype(np.int32))], ["line", "id", "mark", "number"])
 
-    places = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text).where("id IS NOT NULL").mapInArrow(run, "line long, id long, mark long, number int")
-    gone = places.join(classes, "line").where("id != keep_id OR number != keep_number")
-    return gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-
-
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines that go left out of the text; n_lines_removed (long) is added."""
-    gone = written(removed_lines(docs, key, text), "gone").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("numbers").alias("_gone"))
-    out = docs.join(gone, (docs[key] == gone["_id"]) & (F.xxhash64(docs[text]) == gone["_mark"]), "left")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
-    out = out.withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.expr("array_join(transform(_left, i -> _lines[i]), '\n')")))
-    return out.withColumn("n_lines_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).drop("_id", "_mark", "_gone", "_lines", "_left")
+    places = docs.select(number_of(docs, key).alias("id"), F.xxhash64(quoted(text)).alias("mark"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, id long, mark long, number int")
+    gone = joined(places, classes, ["line"], hot, "line").where("id != keep_id OR number != keep_number")
+    out = written(gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "gone")
+    discard(classes)
+    return out
+
+
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_lines_removed") -> DataFrame:
+    """``docs`` with the lines that go left out of the text; ``removed`` (long) is added, in place of a column of that name."""
+    row = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), number_of(docs, key).alias("id"), F.xxhash64(quoted(text)).alias("mark"))
+    out = row.join(removed_lines(docs, key, text), ["id", "mark"], "left")
+    out = out.withColumn("lines", F.when(F.col("numbers").isNotNull(), F.split(F.col("row").getField(text), "\n")))
+    out = out.withColumn("left", F.expr("array_except(sequence(0, size(lines) - 1), numbers)"))
+    new = F.when(F.col("numbers").isNull(), F.col("row").getField(text)).otherwise(F.expr("array_join(transform(left, i -> lines[i]), '\n')"))
+    columns = [(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c != removed]
+    return out.select(*columns, F.when(F.col("numbers").isNull(), 0).otherwise(F.size("numbers")).cast("long").alias(removed))
 
 
 def query(docs: DataFrame) -> DataFrame:

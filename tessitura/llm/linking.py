@@ -45,8 +45,8 @@ HOT, HOT_ROWS, ONE_IN = 1000, 1024, 64
 SALTS, ORDER_BITS = 32, 18
 
 
-def as_hashes(raw: memoryview) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
+def as_hashes(per_cent: int) -> Callable[[memoryview], tuple[np.ndarray, int]]:
+    return lambda raw: (np.frombuffer(raw, np.uint64), per_cent)
 
 
 def components(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
@@ -100,15 +100,16 @@ def crowded(rows: DataFrame, hot: list[int]) -> DataFrame:
 
 
 # search --------------------------------------------------------------------
-def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int, screen: Callable[[DataFrame], DataFrame] | None = None, unpack: Callable[[memoryview], np.ndarray] = as_hashes, scratch: list[DataFrame] | None = None) -> DataFrame:
+def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Callable[[memoryview], tuple[np.ndarray, int]], screen: Callable[[DataFrame], DataFrame] | None = None, scratch: list[DataFrame] | None = None) -> DataFrame:
     """id and component of all ids that are linked to another.
 
     ``rows``: (key, id), any number of times.  ``fetch`` takes ids (id) and returns their
-    sets (id, set: a binary that ``unpack`` turns into sorted distinct 64-bit hashes).
+    sets (id, set: a binary that ``unpack`` turns into sorted distinct 64-bit hashes and
+    the per cent of the union that they must share with another set).
     ``screen`` may drop pairs (a, b) that can't be linked before their sets are compared.
     Tables that the result still reads are added to ``scratch``, for the caller to discard.
     """
-    search = _Search(per_cent, screen, unpack)
+    search = _Search(screen, unpack)
     try:
         hot = frequent(rows)
         crowd = search.kept(crowded(rows, hot), "buckets")
@@ -117,7 +118,7 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int
         search.drawn(crowd, hot, TURNS)
         apart = search.kept(_mixed(crowd, search.found, hot).select("id", "component").distinct(), "apart")
         if not apart.isEmpty():
-            rare = search.kept(_rare(apart, search.sets, per_cent, unpack), "rare")
+            rare = search.kept(_rare(apart, search.sets, unpack), "rare")
             if not rare.isEmpty():
                 hot = frequent(rare)
                 buckets = search.kept(crowded(rare, hot), "buckets")
@@ -133,8 +134,8 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per_cent: int
 class _Search:
     """Pairs tested, links and components found so far."""
 
-    def __init__(self, per_cent: int, screen, unpack):
-        self.per_cent, self.screen, self.unpack = per_cent, screen, unpack
+    def __init__(self, screen, unpack):
+        self.screen, self.unpack = screen, unpack
         self.scratch: list[DataFrame] = []
         self.last: list[DataFrame] = []
         self.sets = self.tested = self.links = self.found = None
@@ -154,7 +155,7 @@ class _Search:
             return  # these were tested already; other pairs may not be
         near = self.kept(self.screen(pairs), "pairs") if self.screen else pairs
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.add(verified(near, self.sets, self.per_cent, self.unpack))
+        self.add(verified(near, self.sets, self.unpack))
 
     def add(self, links: DataFrame) -> None:
         links = self.kept(links, "links")
@@ -183,7 +184,7 @@ class _Search:
     def exhaust(self, mixed: DataFrame) -> None:
         mixed = self.kept(mixed, "mixed")
         if not mixed.isEmpty():
-            self.add(_blocks(mixed, self.sets, self.per_cent, self.unpack))
+            self.add(_blocks(mixed, self.sets, self.unpack))
 
 
 def _mixed(crowd: DataFrame, found: DataFrame, hot: list[int]) -> DataFrame:
@@ -198,7 +199,7 @@ def prefix_length(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
-def _rare(apart: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
+def _rare(apart: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tuple[np.ndarray, int]]) -> DataFrame:
     """key (a member of the set) and id: the rarest members of each id of ``apart``, where they tell components apart."""
     some = sets.join(apart, "id")
     slots = 2**ORDER_BITS
@@ -208,7 +209,7 @@ def _rare(apart: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[me
         total = np.zeros(slots, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                members = [unpack(raw.as_buffer()) for raw in b.column(0).slice(i, 1000)]
+                members = [unpack(raw.as_buffer())[0] for raw in b.column(0).slice(i, 1000)]
                 total += np.bincount((mix(np.concatenate(members)) & low).astype(np.int64), minlength=slots)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
@@ -221,7 +222,8 @@ def _rare(apart: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[me
         for b in batches:
             keys, sizes = [], []
             for raw in b.column(2):
-                members = mix(unpack(raw.as_buffer()))
+                members, per_cent = unpack(raw.as_buffer())
+                members = mix(members)
                 order = np.lexsort((members, common[(members & low).astype(np.int64)]))
                 keys.append(members[order[: prefix_length(len(members), per_cent)]])
                 sizes.append(len(keys[-1]))
@@ -238,7 +240,7 @@ def _rare(apart: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[me
     return out
 
 
-def _blocks(mixed: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray]) -> DataFrame:
+def _blocks(mixed: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tuple[np.ndarray, int]]) -> DataFrame:
     """Links (a, b) between components: at least one for each two that share a bucket and are linked.
 
     In a bucket, the members outside its main component are compared with all members,
@@ -262,9 +264,9 @@ def _blocks(mixed: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[
                 if cell != at:
                     at, outer = cell, _Outer()
                 if role == 0:
-                    outer.add(name, component, unpack(raw))
+                    outer.add(name, component, unpack(raw)[0])
                 else:
-                    out += outer.compare(name, component, unpack(raw), per_cent)
+                    out += outer.compare(name, component, *unpack(raw))
             p, q = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
 
@@ -333,10 +335,10 @@ def alike(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
     return 100 * same >= per_cent * (len(both) - same)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[[memoryview], np.ndarray] = as_hashes) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tuple[np.ndarray, int]]) -> DataFrame:
     """The pairs (a: pivot, b) whose sets have 100 * intersection >= per_cent * union.
 
-    ``sets``: id and a binary that ``unpack`` turns into sorted distinct 64-bit hashes.  The
+    ``sets``: id and a binary that ``unpack`` turns into sorted distinct 64-bit hashes and the per cent.  The
     pivot's set comes once for all its partners, or up to ``SALTS`` times if it has many.
     """
 
@@ -346,7 +348,7 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, unpack: Callable[
             a, s, b, raw = x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3)
             out = []
             for i, name in enumerate(zip(a, s, strict=True)):
-                members = unpack(raw[i].as_buffer())
+                members, per_cent = unpack(raw[i].as_buffer())
                 if b[i] is None:
                     at, pivot = name, members.copy()
                 elif name == at and alike(pivot, members, per_cent):

@@ -9,16 +9,15 @@ from tessitura.llm.common import mix
 CHUNK = 65_536
 
 
-def multipliers(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * k + 1, dtype=np.uint64) + np.uint64(seed << 20))
-    return (x[:k].astype(np.uint32) | np.uint32(1)), (x[k:].astype(np.uint32) | np.uint32(1))
+def multipliers(k: int, seed: int) -> np.ndarray:
+    return mix(np.arange(1, k + 1, dtype=np.uint64) + np.uint64(seed << 20)).astype(np.uint32) | np.uint32(1)
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """sets x k minima.  ``hashes``: well-mixed 64-bit members; ``starts``: where each non-empty set begins."""
     n = len(starts)
     out = np.empty((k, n), np.uint32)
-    a, b = multipliers(k, seed)
+    a = multipliers(k, seed)
     ends = np.append(starts[1:], len(hashes))
     i = 0
     while i < n:
@@ -27,11 +26,10 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, k: int, seed: int = 7) ->
         part = hashes[starts[i] : ends[j - 1]]
         at = starts[i:j] - starts[i]
         low, high = part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint32)
-        x, y = np.empty_like(low), np.empty_like(low)
+        x = np.empty_like(low)
         for m in range(k):
             np.multiply(low, a[m], out=x)
-            np.multiply(high, b[m], out=y)
-            np.add(x, y, out=x)
+            np.add(x, high, out=x)
             out[m, i:j] = np.minimum.reduceat(x, at)
         i = j
     return out.T

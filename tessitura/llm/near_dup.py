@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import Tokens, discard, free_name, hash_strings, mix, number_of, quoted, written
-from tessitura.llm.linking import HOT, HOT_ROWS, bitmap, flagged, joined, link
+from tessitura.llm.linking import HOT, HOT_ROWS, as_hashes, bitmap, flagged, joined, link
 from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signatures
 
 WORDS, PER_CENT = 5, 75
@@ -154,7 +154,7 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = link(
         lone.select(F.explode("bands").alias("key"), "id"),
         lambda ids: sets_of(docs, ids, key, text),
-        PER_CENT,
+        as_hashes(PER_CENT),
         lambda pairs: sketched_alike(pairs, sketches),
         scratch=scratch,
     )

@@ -13,5 +13,5 @@ def test_a_pivot_drawn_again_does_not_end_the_search(spark):
     rows = spark.createDataFrame([(key, i) for i in (1, 2, 3)], "key long, id long")
     sets = {1: [1, 2, 3], 2: [7, 8, 9], 3: [7, 8, 9]}
     table = spark.createDataFrame([(i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in sets.items()], "id long, set binary")
-    got = linking.link(rows, lambda ids: table.join(ids, "id"), 75)
+    got = linking.link(rows, lambda ids: table.join(ids, "id"), linking.as_hashes(75))
     assert {(r.id, r.component) for r in got.collect()} == {(2, 2), (3, 2)}

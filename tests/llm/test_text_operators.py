@@ -34,13 +34,15 @@ def lines_brute(rows):
             if line.strip(" \t\n\x0b\x0c\r"):
                 places.setdefault(line, (i, k))
 
-    def shingles(line):
-        b = line.encode()
-        return frozenset(b[i : i + 8] for i in range(len(b) - 7)) if len(b) >= 8 else frozenset([b])
+    def linked(a, b):
+        for low, high, k, per_cent in ((5, 130, 5, 65), (104, 10**9, 8, 80)):
+            if all(low <= len(x) <= high for x in (a, b)):
+                if jaccard_at_least(*(frozenset(x[i : i + k] for i in range(len(x) - k + 1)) for x in (a, b)), per_cent):
+                    return True
+        return False
 
     names = list(places)
-    sets = [shingles(x) for x in names]
-    root = components(range(len(names)), lambda a, b: jaccard_at_least(sets[a], sets[b], 80))
+    root = components(range(len(names)), lambda a, b: linked(names[a], names[b]))
     root = {names[i]: r for i, r in root.items()}
     best = {}
     for line, p in places.items():
@@ -55,8 +57,8 @@ def lines_brute(rows):
 
 def test_lines_against_all_pairs(spark):
     r = random.Random(3)
-    base = [prose(i, 12) for i in range(12)]
-    pool = base + [b[: (k := r.randrange(len(b)))] + "#" + b[k + 1 :] for b in base for _ in range(4)] + ["", " ", "short", "short", "É" * 9, "\t"]
+    base = [prose(i, n) for i, n in enumerate((12, 3, 5, 8, 17, 18, 19, 20, 22, 30, 60, 20, 20))] + ["é" + prose(50, 6), "日本語" * 3 + prose(51, 16)]
+    pool = base + [b[: (k := r.randrange(len(b)))] + "#" + b[k + 1 :] for b in base for _ in range(4)] + ["", " ", "short", "short", "abc", "É" * 9, "\t"]
     texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(60)] + ["", None, "\n\n", "x" * 50_000]
     got = {r.doc_id: (r.n_lines_removed, r.text or "") for r in line_dedup.drop_lines(table(spark, texts)).collect()}
     want = lines_brute(list(enumerate(texts)))
@@ -71,11 +73,42 @@ def test_lines_keep_columns_nulls_and_empty_tables(spark):
     assert line_dedup.drop_lines(docs.limit(0)).collect() == []
 
 
-def test_pairs_of_lines_at_the_threshold_share_a_bucket():
-    # 5,000 pairs of sets of 45, 40 of them common: J = 0.8; three are missed by less than one try in 1,000
-    h = np.random.default_rng(4).integers(0, 2**64, (5000, 50), dtype=np.uint64)
-    one, two = (minhash.bands(minhash.signatures(h[:, s].ravel(), np.arange(5000) * 45, line_dedup.ROWS * line_dedup.BANDS, seed=11), line_dedup.ROWS) for s in (slice(0, 45), slice(5, 50)))
-    assert (~(one == two).any(axis=1)).sum() <= 2
+@pytest.mark.parametrize("rule, size, common, most", [("long", 45, 40, 2), ("short", 33, 26, 8)])
+def test_pairs_of_lines_at_the_threshold_share_a_bucket(rule, size, common, most):
+    # 5,000 pairs of sets at the threshold (0.8 and 0.65): 0.1 and 2 are missed on average
+    whole = 2 * size - common
+    k = line_dedup.ROWS * line_dedup.RULES[rule][2]
+    h = np.random.default_rng(4).integers(0, 2**64, (5000, whole), dtype=np.uint64)
+    one, two = (minhash.bands(minhash.signatures(h[:, s].ravel(), np.arange(5000) * size, k, seed=11), line_dedup.ROWS) for s in (slice(0, size), slice(whole - size, whole)))
+    assert (~(one == two).any(axis=1)).sum() <= most
+
+
+def edited(line, k, word):
+    """``line`` with one character, or one word, changed."""
+    if not word:
+        return line[:k] + "#" + line[k + 1 :]
+    w = line.split()
+    w[k % len(w)] = "zwölf"
+    return " ".join(w)
+
+
+def test_short_lines_with_one_character_or_word_changed(spark):
+    r = random.Random(8)
+    lines = [prose(300 + i, 30)[:n] for i, n in enumerate(range(28, 80, 2))]
+    texts = [t for i, x in enumerate(lines) for t in (x, edited(x, r.randrange(len(x)), False))]
+    lines = [" ".join(f"w{300 * i + k}ab" for k in range(n)) for i, n in enumerate(range(9, 14))]  # words of six letters, lines of 62 to 97
+    texts += [t for x in lines for t in (x, edited(x, r.randrange(5), True))]
+    texts += ["Page 12 of 300 in the book of all things", "Page 13 of 300 in the book of all things"]
+    got = [r.n_lines_removed for r in line_dedup.drop_lines(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1] * (len(texts) // 2)
+
+
+def test_lines_with_keys_of_text_and_clashing_names(spark):
+    columns = ["id", "mark", "row", "lines", "left", "numbers", "_gone", "_id", "n_lines_removed"]
+    docs = spark.createDataFrame([("a", "one line that comes twice", *("x" * 9)), ("b", "one line that comes twice", *("x" * 9))], ", ".join(f"{c} string" for c in ["doc_id", "text", *columns]))
+    out = line_dedup.drop_lines(docs)
+    assert out.columns == ["doc_id", "text", *columns] and sorted(r.n_lines_removed for r in out.collect()) == [0, 1]
+    assert {r.row + r.left + r.id for r in out.collect()} == {"xxx"}
 
 
 # repeated strings ----------------------------------------------------------------
