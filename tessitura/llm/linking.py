@@ -5,20 +5,21 @@ and needless where only components are asked for:
 
 1. *Stars*: each bucket's smallest id is tested against the others.
 2. *Components* of the links found (alternating large-star and small-star).
-3. *More stars*: buckets that still hold several components are tested around other
-   pivots, drawn by a hash, between components only.
-4. *Rare members*: what is still apart is put into new buckets.  Order the members of
+3. *The rest*: a bucket of up to ``OUTER`` ids that still holds several components is
+   compared inside one task, where no pair leaves but a link.  Of buckets with equal
+   lists of ids, one is.
+4. *More stars*: larger buckets are tested around another pivot, drawn by a hash,
+   between components only.
+5. *Rare members*: what is still apart in them goes to new buckets.  Order the members of
    every set by how common they are; two sets with a Jaccard similarity of at least t
    share one of the first n - ceil(t * n) + 1 of either (prefix filter), so each id goes
-   to the buckets of its own rarest members.  Buckets of one component, and all but one
-   of the buckets with equal lists, go.  Unlike ids share common members only, so they
-   meet nowhere: the work follows the number of ids, not of pairs.
-5. Drawn pivots again, in these buckets; what is still apart in one of them is compared
-   inside the tasks, in blocks.
+   to the buckets of its own rarest members.  Unlike ids share common members only, and
+   meet nowhere: the work follows the number of ids, not of pairs.  Then step 3 in these
+   buckets; those beyond ``OUTER`` are compared in blocks of that size.
 
 A pair that shares a bucket is thus tested or already connected, so the components are
 those of testing all pairs.  Step 5's blocks are the only work that can grow faster than
-the input, and only with ids that share a rare member without being linked.
+the input, and only with very many ids that share a rare member without being linked.
 
 Hot buckets are split: the most frequent keys are found on a sample of the ids (a choice
 of plan, nothing is left out), their rows stay where they are and meet a short broadcast
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import discard, mix, written
 
 BITMAP_BITS = 24
-#: rounds of drawn pivots in the first and in the rare buckets; sides of a block
-TURNS, RARE_TURNS, OUTER, INNER = 1, 3, 256, 8192
+#: rounds of drawn pivots; sides of a block: members outside the main component, which are held, and of all, which stream past
+TURNS, OUTER, INNER = 1, 256, 8192
 #: at most HOT keys, of HOT_ROWS rows or more by a sample of one id in ONE_IN, are split
 HOT, HOT_ROWS, ONE_IN = 1000, 1024, 64
 #: a pivot with many partners is sent to this many places
@@ -115,15 +116,14 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Calla
         crowd = search.kept(crowded(rows, hot), "buckets")
         search.sets = search.kept(fetch(crowd.select("id").distinct()), "sets")
         search.stars(crowd)
-        search.drawn(crowd, hot, TURNS)
-        apart = search.kept(_mixed(crowd, search.found, hot).select("id", "component").distinct(), "apart")
-        if not apart.isEmpty():
-            rare = search.kept(_rare(apart, search.sets, unpack), "rare")
-            if not rare.isEmpty():
+        large = search.settle(crowd, hot, OUTER)
+        if large is not None:
+            search.drawn(large, hot, TURNS)
+            apart = search.kept(_mixed(large, search.found, hot).select("id", "component").distinct(), "apart")
+            if not apart.isEmpty():
+                rare = search.kept(_rare(apart, search.sets, unpack), "rare")
                 hot = frequent(rare)
-                buckets = search.kept(crowded(rare, hot), "buckets")
-                search.drawn(buckets, hot, RARE_TURNS)
-                search.exhaust(_mixed(buckets, search.found, hot))
+                search.settle(search.kept(crowded(rare, hot), "buckets"), hot, None)
         if scratch is not None:
             scratch.extend(search.last)
         return search.found
@@ -181,10 +181,18 @@ class _Search:
             draw = mixed.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "component")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.component").alias("cp"))
             self.test(joined(mixed, draw, ["key"], hot).where("component != cp").select(F.col("p").alias("a"), F.col("id").alias("b")))
 
-    def exhaust(self, mixed: DataFrame) -> None:
-        mixed = self.kept(mixed, "mixed")
-        if not mixed.isEmpty():
-            self.add(_blocks(mixed, self.sets, self.unpack))
+    def settle(self, crowd: DataFrame, hot: list[int], most: int | None) -> DataFrame | None:
+        """Compare what is still apart in buckets of up to ``most`` ids; the rows (key, id) of larger ones."""
+        mixed = self.kept(_mixed(crowd, self.found, hot), "mixed")
+        if mixed.isEmpty():
+            return None
+        lists = mixed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+        lists = self.kept(lists.groupBy("n", "ids").agg(F.min("key").alias("key")).select("key", "n"), "lists")
+        some = lists if most is None else lists.where(f"n <= {most}")
+        self.add(_blocks(self.kept(joined(mixed, some.select("key"), ["key"], hot), "lists"), self.sets, self.unpack))
+        if most is None or lists.where(f"n > {most}").isEmpty():
+            return None
+        return self.kept(joined(mixed, lists.where(f"n > {most}").select("key"), ["key"], hot).select("key", "id"), "large")
 
 
 def _mixed(crowd: DataFrame, found: DataFrame, hot: list[int]) -> DataFrame:
@@ -252,39 +260,57 @@ def _blocks(mixed: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tu
     main = main.select("key", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
     member = joined(mixed, main, ["key"], frequent(mixed))
     h = F.abs(F.xxhash64("id") % (1 << 40))
+    # a bucket of one cell has every member once: role 0 (held) or 1; others have those outside the main component twice
+    whole = (F.col("outer") == 1) & (F.col("inner") == 1)
     every = F.explode(F.expr("sequence(0, other - 1)")).alias("o")
-    left = member.where("component != main").withColumns({"x": h % F.col("outer"), "other": F.col("inner")}).select("key", F.lit(0).alias("role"), "id", "component", "x", every).select("key", "x", F.col("o").cast("long").alias("y"), "role", "id", "component")
-    right = member.withColumns({"y": h % F.col("inner"), "other": F.col("outer")}).select("key", F.lit(1).alias("role"), "id", "component", "y", every).select("key", F.col("o").cast("long").alias("x"), "y", "role", "id", "component")
+    cell = ["key", "x", "y", "alone", "role", "id", "component"]
+    own = member.withColumn("alone", whole)
+    left = own.where("component != main").withColumns({"x": h % F.col("outer"), "other": F.col("inner")}).select("key", F.lit(0).alias("role"), "id", "component", "x", "alone", every).withColumn("y", F.col("o").cast("long")).select(cell)
+    right = own.where("NOT alone OR component = main").withColumns({"y": h % F.col("inner"), "other": F.col("outer")}).select("key", F.lit(1).alias("role"), "id", "component", "y", "alone", every).withColumn("x", F.col("o").cast("long")).select(cell)
 
     def run(batches):
-        at, outer = None, None
+        at, outer = None, _Outer()
         for b in batches:
             out = []
-            for *cell, role, name, component, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *cell, alone, role, name, component, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if cell != at:
+                    out += outer.among()
                     at, outer = cell, _Outer()
+                members, per_cent = unpack(raw)
                 if role == 0:
-                    outer.add(name, component, unpack(raw)[0])
+                    outer.add(name, component, members, per_cent, alone)
                 else:
-                    out += outer.compare(name, component, *unpack(raw))
-            p, q = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
+                    out += outer.compare(name, component, members, per_cent)
+            yield _pairs(out)
+        yield _pairs(outer.among())
 
-    dealt = left.unionByName(right).join(sets, "id").select("key", "x", "y", "role", "id", "component", "set").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
+    dealt = left.unionByName(right).join(sets, "id").select(*cell, "set").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 class _Outer:
     """The outer members of a cell of a bucket (at most some ``OUTER``); the inner ones stream past."""
 
     def __init__(self):
         self.names, self.components, self.sets, self.done, self.sorted = [], [], [], set(), None
+        self.alone, self.per_cent = False, []
 
-    def add(self, name: int, component: int, members: np.ndarray) -> None:
+    def add(self, name: int, component: int, members: np.ndarray, per_cent: int, alone: bool) -> None:
+        self.alone = alone
+        self.per_cent.append(per_cent)
         self.names.append(name)
         self.components.append(component)
         self.sets.append(members)
 
+    def among(self) -> list[tuple[int, int]]:
+        """Links among the outer members, where they meet in no other role."""
+        return [link for c in zip(self.names, self.components, self.sets, self.per_cent, strict=True) for link in self.compare(*c)] if self.alone else []
+
     def compare(self, name: int, component: int, x: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
         """One link for each outer member and other component."""
         if not self.sets:
@@ -353,8 +379,7 @@ def verified(pairs: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], t
                     at, pivot = name, members.copy()
                 elif name == at and alike(pivot, members, per_cent):
                     out.append((a[i], b[i]))
-            p, q = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
+            yield _pairs(out)
 
     salted = pairs.select("a", F.expr(f"pmod(xxhash64(b), {SALTS})").cast("int").alias("s"), "b")
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "s", "b", "set")
