@@ -6,17 +6,22 @@ from a uniform base over the vocabulary and one unknown word.  Given a seating
 
     P(w | u) = (c_uw - D t_uw + (S + D t_u) P(w)) / (S + c_u),   P(w) alike over tables.
 
-Seatings are sampled by Gibbs: a random customer of a dish gets up and takes a table
-again, with the odds of the Chinese restaurant process.  Rows of a step (one for each
-context and dish) move at once, with the totals of the step before.
+Seatings are sampled by Gibbs, in blocks that are independent given the rest, so that a
+sweep reseats every customer, of every dish, however large:
+
+* the parent's measure given its seating: gamma variables of c_w - D t_w;
+* for each restaurant an auxiliary gamma variable v of shape S / D + (its tables); given
+  v and the measure, the tables of its dishes are independent, with odds
+  (D v P(w)) ** t S(c, t) in generalised Stirling numbers (``seating``);
+* the parent's own tables alike, from the uniform base.
 
 The corpus is never in one place.  Contexts are dealt to shards by hash; a shard samples
 its restaurants together with a parent of their own (an unbiased picture of the whole,
-for contexts are dealt at random) and sends its tables up.  The one true parent is then
-sampled from the tables of all shards, itself dealt by word.  Samples of leaves and
-parent are independent, so the average of the predictive probability over all pairs of
-samples is the formula above with averaged table counts.  Very frequent contexts are
-dealt to several shards by the next word; their table counts add up.
+for contexts are dealt at random) and sends the tables of each of ``SAMPLES`` sweeps up.
+For each of them the one true parent, dealt by word, is sampled from the tables of all
+shards, so leaves and parent of a sample belong together, and the predictive probability
+is averaged over samples.  Very frequent contexts are dealt to several shards by the next
+word; their table counts add up.  Shards grow in number with the tokens, not in size.
 
 Blocks of documents hold token numbers and their dictionary.  They ask the shards for
 their distinct bigrams and words, packed in arrays, and get the answers back in the same
@@ -25,8 +30,9 @@ order; nothing of the model is broadcast, and every exchange grows with the corp
 Words are lower-cased in A-Z; each text ends in one end token, which is also the context
 of its first word.  Null texts are empty.  Words are told apart by 64-bit
 hashes for the counts, and by 48 bits of them for the model.
-Repeated rows are scored one by one; a null key counts as training; other columns are
-ignored.  Longer texts than a block are a block of their own.
+Repeated rows are scored one by one, with equal scores; keys may be of any type; a null
+key counts as training; other columns are ignored, whatever their names; longer texts
+than a block are a block of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,15 +45,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessitura.llm.common import Tokens, hash_strings, mix, written
+from tessitura.llm.common import Tokens, discard, hash_strings, mix, quoted, written
+from tessitura.llm.seating import tables
 
-BLOCK = 12_000_000
+BLOCK, SHARD_TOKENS = 12_000_000, 8_000_000
 #: discounts and strengths of contexts and parent
-D_LEAF, S_LEAF, D_ROOT, S_ROOT = 0.85, 1.0, 0.6, 20.0
-BURN_IN, SAMPLES, MOVES = 3, 3, 2
+D_LEAF, S_LEAF, D_ROOT, S_ROOT = 0.7, 0.1, 0.85, 10.0
+BURN_IN, SAMPLES = 5, 3
 _END = np.uint64(0xE2D0E2D0E2D0E2D1)
-_SMALL = 64
 _SHORT = np.uint64(2**48 - 1)
 
 
@@ -63,112 +70,48 @@ def long(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-class Seating:
-    """Tables of every dish: ``c`` customers each (at least one), of restaurant ``home``.
+def pack(x: np.ndarray) -> bytes:
+    """Small integers, their bytes by place and compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
-    Dishes with one customer have one table for good.  Others keep their table sizes in
-    rows of arrays, by size class; arrays widen when a row fills up.
-    """
 
-    def __init__(self, c: np.ndarray, discount: float, pull: np.ndarray, seed: int):
-        self.c, self.d, self.rng = c, discount, np.random.default_rng(seed)
-        self.t = np.ones(len(c))
-        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
-        top, low = int(c.max(initial=0)), 2
-        while low <= top:
-            rows = np.flatnonzero((c >= low) & (c < 4 * low))
-            if len(rows):
-                self.groups.append((rows, self._open(rows, pull[rows], low <= _SMALL)))
-            low *= 4
-        for rows, sizes in self.groups:
-            self.t[rows] = (sizes > 0).sum(axis=1)
-
-    def _open(self, rows: np.ndarray, pull: np.ndarray, one_by_one: bool) -> np.ndarray:
-        """A first seating: customer by customer, or for large dishes by growing numbers of customers."""
-        c = self.c[rows]
-        if one_by_one:
-            sizes = np.zeros((len(rows), 4), np.int32)
-            sizes[:, 0] = 1
-            for j in range(1, int(c.max())):
-                go = np.flatnonzero(c > j)
-                sizes = self._seat(sizes, go, pull[go])
-            return sizes
-        t, n = np.ones(len(rows)), np.ones(len(rows))
-        while (go := n < c).any():
-            step = np.where(go, np.minimum(np.ceil(0.3 * n), c - n), 0)
-            t += np.minimum(self.rng.poisson(np.minimum(step, step * pull / (n - self.d * t + pull))), step)
-            n += step
-        sizes = np.zeros((len(rows), int(t.max()) + 4), np.int32)
-        for i, (m, k) in enumerate(zip(c.tolist(), t.astype(int).tolist(), strict=True)):
-            share = self.rng.gamma(1 - self.d, size=k) + 1e-12
-            sizes[i, :k] = 1 + self.rng.multinomial(m - k, share / share.sum())
-        return sizes
-
-    def _seat(self, sizes: np.ndarray, rows: np.ndarray, pull: np.ndarray) -> np.ndarray:
-        """One more customer in each of ``rows``."""
-        some = sizes[rows]
-        there = some > 0
-        weight = np.cumsum(some - self.d * there, axis=1)
-        at = self.rng.random(len(rows)) * (weight[:, -1] + pull)
-        own = at < weight[:, -1]
-        free = np.argmin(there, axis=1)
-        full = there[np.arange(len(rows)), free]
-        if (full & ~own).any():
-            sizes = np.concatenate((sizes, np.zeros_like(sizes)), axis=1)
-            free = np.where(full, some.shape[1], free)
-        table = np.where(own, np.minimum((weight <= at[:, None]).sum(axis=1), some.shape[1] - 1), free)
-        sizes[rows, table] += 1
-        return sizes
-
-    def sweep(self, pull: np.ndarray, moves: int = MOVES) -> None:
-        """``moves`` random customers of every dish change tables; ``pull``: each dish's weight of a new table."""
-        for g, (rows, sizes) in enumerate(self.groups):
-            every = np.arange(len(rows))
-            for _ in range(moves):
-                up = (np.cumsum(sizes, axis=1) <= (self.rng.random(len(rows)) * self.c[rows])[:, None]).sum(axis=1)
-                sizes[every, np.minimum(up, sizes.shape[1] - 1)] -= 1
-                sizes = self._seat(sizes, every, pull[rows])
-            self.groups[g] = rows, sizes
-            self.t[rows] = (sizes > 0).sum(axis=1)
-
-
-def sample_root(c: np.ndarray, base: float, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged and last table counts of the parent's dishes; ``share``: how much of the parent this is."""
-    if not len(c):
-        return np.zeros(0), np.zeros(0)
-    seating = Seating(c, D_ROOT, np.full(len(c), (S_ROOT + D_ROOT * len(c) / share) * base), seed)
-    total = np.zeros(len(c))
-    for i in range(BURN_IN + SAMPLES):
-        seating.sweep(np.full(len(c), (S_ROOT + D_ROOT * seating.t.sum() / share) * base))
-        total += seating.t * (i >= BURN_IN)
-    return total / SAMPLES, seating.t
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(x.T).view("<i4").ravel().astype(np.int64)
 
 
-def sample_shard(c: np.ndarray, home: np.ndarray, dish: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged and last table counts of (home, dish) rows with ``c`` customers, sampled with a parent of their own."""
-    if not len(c):
-        return np.zeros(0), np.zeros(0)
-    homes, dishes = int(home.max()) + 1, int(dish.max()) + 1
-    base = 1 / (dishes + 1)
-    customers = np.bincount(dish, minlength=dishes).astype(float)
-    parent_t = np.minimum(customers, 1 + 0.3 * np.log(np.maximum(customers, 1)))
+def sample_root(c: np.ndarray, base: float, share: float, rng: np.random.Generator, t: np.ndarray | None = None, sweeps: int = BURN_IN) -> np.ndarray:
+    """Tables of the parent's dishes; ``share``: how much of the parent this is."""
+    t = np.ones(len(c), np.int64) if t is None else t
+    for _ in range(sweeps if len(c) else 0):
+        v = rng.gamma(S_ROOT / D_ROOT + t.sum() / share)
+        t = tables(c, np.full(len(c), D_ROOT * v * base), D_ROOT, rng)
+    return t
 
-    parent_t = np.maximum(parent_t, 1)
 
-    def pull(t):
-        up = np.bincount(dish, t, dishes)
-        p = (up - D_ROOT * np.minimum(parent_t, up) + (S_ROOT + D_ROOT * parent_t.sum()) * base) / (S_ROOT + up.sum())
-        return (S_LEAF + D_LEAF * np.bincount(home, t, homes))[home] * p[dish]
+def sample_shard(c: np.ndarray, home: np.ndarray, dish: np.ndarray, spread: np.ndarray, seed: int, samples: int = SAMPLES) -> np.ndarray:
+    """Tables of (home, dish) rows with ``c`` customers, one row for each sample, with a parent of their own.
 
-    seating = Seating(c, D_LEAF, pull(np.ones(len(c))), seed)
-    total = np.zeros(len(c))
-    for i in range(BURN_IN + SAMPLES):
-        seating.sweep(pull(seating.t))
-        if i in (0, BURN_IN):  # the parent's own seating
-            up = np.bincount(dish, seating.t, dishes).astype(np.int64)
-            parent_t = sample_root(np.maximum(up, 1), base, 1.0, seed + 1 + i)[0]
-        total += seating.t * (i >= BURN_IN)
-    return total / SAMPLES, seating.t
+    ``spread``: over how many shards the restaurant of each home is dealt.
+    """
+    out = np.zeros((samples, len(c)), np.int64)
+    if not len(c):
+        return out
+    rng = np.random.default_rng(seed)
+    _, dish = np.unique(dish, return_inverse=True)
+    homes, dishes = len(spread), int(dish.max()) + 1
+    base = 1 / (dishes + 1)
+    t, root = np.ones(len(c), np.int64), np.ones(dishes, np.int64)
+    for i in range(BURN_IN + samples):
+        up = np.bincount(dish, t, dishes).astype(np.int64)
+        root = sample_root(up, base, 1.0, rng, np.minimum(root, up), 1)
+        mass, rest = rng.gamma(up - D_ROOT * root), rng.gamma(S_ROOT + D_ROOT * root.sum())
+        measure = (mass + rest * base) / (mass.sum() + rest)
+        v = rng.gamma(S_LEAF / D_LEAF + spread * np.bincount(home, t, homes))
+        t = tables(c, D_LEAF * v[home] * measure[dish], D_LEAF, rng)
+        if i >= BURN_IN:
+            out[i - BURN_IN] = t
+    return out
 
 
 # blocks ------------------------------------------------------------------
@@ -193,9 +136,9 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays([
-                pa.array([part * 1_000_000 + n]), pa.array([x.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.column(1).to_pylist()], pa.list_(pa.bool_())),
+                pa.array([part * 1_000_000 + n]), pa.array([len(ids)]), pa.array([x.column(0).to_pylist()], pa.list_(x.column(0).type)), pa.array([x.column(1).to_pylist()], pa.list_(pa.bool_())),
                 pa.array([np.diff(ends, prepend=-1).astype(np.int32).tobytes()]), pa.array([pa.compress(rank[ids].astype(np.int32).tobytes(), "zstd", asbytes=True)]), pa.array([words[order].tobytes()]),
-            ], ["block", "docs", "held", "sizes", "ids", "words"])
+            ], ["block", "tokens", "docs", "held", "sizes", "ids", "words"])
 
         for b in batches:
             size_of = np.array([v or 0 for v in pc.binary_length(b.column(2)).to_pylist()], np.int64)
@@ -213,8 +156,9 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         if held:
             yield block()
 
-    out = F.coalesce(F.crc32(F.col(key).cast("string")) % 7 == 2, F.lit(False))
-    return docs.select(F.col(key).cast("long"), out.alias("held"), text).mapInArrow(run, "block long, docs array<long>, held array<boolean>, sizes binary, ids binary, words binary")
+    kind = docs.schema[key].dataType.simpleString()
+    out = F.coalesce(F.crc32(F.col(quoted(key)).cast("string")) % 7 == 2, F.lit(False))
+    return docs.select(quoted(key), out.alias("_held"), quoted(text)).mapInArrow(run, f"block long, tokens long, docs array<{kind}>, held array<boolean>, sizes binary, ids binary, words binary")
 
 
 class Read:
@@ -315,21 +259,21 @@ def bigram_requests(blocks: DataFrame, shards: int, hot: dict[int, int]) -> Data
             x = Read(row)
             for k, at, u, run_of in x.asked(shards, hot):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k], pa.int32()), pa.array([x.block]), pa.array([x.words[u].tobytes()]), pa.array([run_of.astype(np.int32).tobytes()]),
-                    pa.array([short(x.words[x.w[at]])]), pa.array([x.pair_counts[at].astype(np.int32).tobytes()]),
+                    pa.array([k], pa.int32()), pa.array([x.block]), pa.array([x.words[u].tobytes()]), pa.array([pack(run_of)]),
+                    pa.array([short(x.words[x.w[at]])]), pa.array([pack(x.pair_counts[at])]),
                 ], ["shard", "block", "u", "run", "w", "n"])
 
     return blocks.mapInArrow(run, "shard int, block long, u binary, run binary, w binary, n binary")
 
 
-def leaves(requests: DataFrame, shards: int) -> DataFrame:
-    """Answers (kind 0: block, shard, a: discounted customers of each bigram, b: discount times tables of each context)
-    and tables that go up (kind 1: shard of the word, a: words, b: tables)."""
+def leaves(requests: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
+    """Answers (kind 0: block, shard, a: customers of each bigram and its tables by sample, b: tables of each context by sample)
+    and tables that go up (kind 1: shard of the word, a: words, b: tables by sample, total: their sums)."""
 
     def answer(batches):
         for shard, rows in _grouped(batches, "shard"):
-            get = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-            us, runs, ws, ns = get("u", np.uint64), get("run", np.int32), [long(r["w"]) for r in rows], get("n", np.int32)
+            us, ws = [np.frombuffer(r["u"], np.uint64) for r in rows], [long(r["w"]) for r in rows]
+            runs, ns = [unpack(r["run"], len(u)) for r, u in zip(rows, us, strict=True)], [unpack(r["n"], len(w)) for r, w in zip(rows, ws, strict=True)]
             asked = [(r["block"], len(u), len(w)) for r, u, w in zip(rows, us, ws, strict=True)]
             contexts, of = np.unique(np.concatenate(us), return_inverse=True)
             home = np.repeat(of, np.concatenate(runs))
@@ -344,24 +288,25 @@ def leaves(requests: DataFrame, shards: int) -> DataFrame:
             del home
             c = np.bincount(back, n, len(pairs)).astype(np.int64)
             known = np.flatnonzero(c)
-            mean, last = sample_shard(c[known], pairs[known] >> 32, pairs[known] & 0xFFFFFFFF, 1000 + shard)
-            left = np.zeros(len(pairs), np.float32)
-            left[known] = c[known] - D_LEAF * mean
-            tables = (D_LEAF * np.bincount(pairs[known] >> 32, mean, len(contexts))).astype(np.float32)
+            spread = np.array([min(hot.get(x, 1), shards) for x in contexts.tolist()], np.int64) if hot else np.ones(len(contexts), np.int64)
+            seated = np.zeros((SAMPLES, len(pairs)), np.int64)
+            seated[:, known] = sample_shard(c[known], pairs[known] >> 32, pairs[known] & 0xFFFFFFFF, spread, 1000 + shard)
+            total = np.stack([np.bincount(pairs >> 32, t, len(contexts)).astype(np.int64) for t in seated])
             at = at_u = 0
             for block, n_u, n_w in asked:
-                yield _out(0, block, shard, left[back[at : at + n_w]].tobytes(), tables[of[at_u : at_u + n_u]], 0)
+                i = back[at : at + n_w]
+                yield _out(0, block, shard, pack(np.concatenate((c[i], seated[:, i].ravel()))), pack(total[:, of[at_u : at_u + n_u]].ravel()), [0] * SAMPLES)
                 at, at_u = at + n_w, at_u + n_u
-            up = np.bincount(pairs[known] & 0xFFFFFFFF, last, len(words)).astype(np.int64)
-            some = np.flatnonzero(up)
+            up = np.stack([np.bincount(pairs & 0xFFFFFFFF, t, len(words)).astype(np.int64) for t in seated])
+            some = np.flatnonzero(up[0])
             for k, i in _in_order((mix(words[some]) % np.uint64(shards)).astype(np.int64), shards):
-                yield _out(1, -1, k, short(words[some[i]]), up[some[i]].astype(np.int32), int(up[some[i]].sum()))
+                yield _out(1, -1, k, short(words[some[i]]), pack(up[:, some[i]].ravel()), up[:, some[i]].sum(axis=1).tolist())
 
     def _out(kind, block, shard, a, b, total):
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block]), pa.array([shard], pa.int32()), pa.array([a]), pa.array([b.tobytes()]), pa.array([total])], ["kind", "block", "shard", "a", "b", "total"])
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block]), pa.array([shard], pa.int32()), pa.array([a]), pa.array([b]), pa.array([total], pa.list_(pa.int64()))], ["kind", "block", "shard", "a", "b", "total"])
 
     dealt = requests.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    return dealt.mapInArrow(answer, "kind int, block long, shard int, a binary, b binary, total long")
+    return dealt.mapInArrow(answer, "kind int, block long, shard int, a binary, b binary, total array<long>")
 
 
 def word_requests(blocks: DataFrame, shards: int) -> DataFrame:
@@ -369,14 +314,14 @@ def word_requests(blocks: DataFrame, shards: int) -> DataFrame:
         for row in _rows(batches):
             x = Read(row, bigrams=False)
             for k, at in _in_order((mix(x.words & _SHORT) % np.uint64(shards)).astype(np.int64), shards):
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([x.block]), pa.array([k], pa.int32()), pa.array([x.words[at].tobytes()]), pa.array([x.counts[at].astype(np.int32).tobytes()])], ["kind", "block", "shard", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([x.block]), pa.array([k], pa.int32()), pa.array([x.words[at].tobytes()]), pa.array([pack(x.counts[at])])], ["kind", "block", "shard", "a", "b"])
 
     return blocks.mapInArrow(run, "kind int, block long, shard int, a binary, b binary")
 
 
-def roots(asked: DataFrame, tables: DataFrame, shards: int, customers: int) -> DataFrame:
-    """Answers: block, shard, a: training count of each word, b: its discounted customers in the parent; on the
-    rows of block -1 the shard's training tokens, distinct training words and tables."""
+def roots(asked: DataFrame, up_tables: DataFrame, shards: int, customers: list[int]) -> DataFrame:
+    """Answers: block, shard, a: training count of each word, b: its customers and tables in the parent by sample; on
+    the rows of block -1 the shard's training tokens, distinct training words and tables by sample."""
 
     def answer(batches):
         for shard, rows in _grouped(batches, "shard"):
@@ -387,74 +332,86 @@ def roots(asked: DataFrame, tables: DataFrame, shards: int, customers: int) -> D
             for r in asking:
                 i = back[at : at + len(r["a"]) // 8]
                 at += len(i)
-                count[i] += np.frombuffer(r["b"], np.int32)
+                count[i] += unpack(r["b"], len(i))
                 places.append((r["block"], i))
             names, of = np.unique(words & _SHORT, return_inverse=True)
-            up = np.zeros(len(names), np.int64)
+            up = np.zeros((SAMPLES, len(names)), np.int64)
             for r in rows:
                 if r["kind"] == 1:
-                    np.add.at(up, np.searchsorted(names, long(r["a"])), np.frombuffer(r["b"], np.int32))
-            known = np.flatnonzero(up)
-            share = max(up.sum() / max(customers, 1), 1e-9)
-            mean, _ = sample_root(up[known], share / (len(known) + share), share, 77 + shard)
-            left = np.zeros(len(names), np.float32)
-            left[known] = up[known] - D_ROOT * mean
-            left = left[of]
+                    some = np.searchsorted(names, long(r["a"]))
+                    up[:, some] += unpack(r["b"], SAMPLES * len(some)).reshape(SAMPLES, -1)  # each word once in a row
+            known = np.flatnonzero(up[0])
+            rng = np.random.default_rng(77 + shard)
+            seated = np.zeros_like(up)
+            for k in range(SAMPLES):
+                share = max(up[k].sum() / max(customers[k], 1), 1e-9)
+                seated[k, known] = sample_root(up[k, known], share / (len(known) + share), share, rng)
             for block, i in places:
-                yield _out(block, shard, count[i].astype(np.int32), left[i], 0, 0, 0.0)
-            yield _out(-1, shard, count[:0], left[:0], int(count.sum()), int((count > 0).sum()), float(mean.sum()))
+                yield _out(block, shard, count[i], np.concatenate((up[:, of[i]], seated[:, of[i]])).ravel(), 0, 0, [0] * SAMPLES)
+            yield _out(-1, shard, count[:0], count[:0], int(count.sum()), int((count > 0).sum()), seated.sum(axis=1).tolist())
 
     def _out(block, shard, a, b, tokens, distinct, seated):
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()]), pa.array([tokens]), pa.array([distinct]), pa.array([seated])], ["block", "shard", "a", "b", "tokens", "distinct", "tables"])
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack(a)]), pa.array([pack(b)]), pa.array([tokens]), pa.array([distinct]), pa.array([seated], pa.list_(pa.int64()))], ["block", "shard", "a", "b", "tokens", "distinct", "tables"])
 
-    both = asked.unionByName(tables.select("kind", "block", "shard", "a", "b")).repartition(shards, "shard").sortWithinPartitions("shard")
-    return both.mapInArrow(answer, "block long, shard int, a binary, b binary, tokens long, distinct long, tables double")
+    both = asked.unionByName(up_tables.select("kind", "block", "shard", "a", "b")).repartition(shards, "shard").sortWithinPartitions("shard")
+    return both.mapInArrow(answer, "block long, shard int, a binary, b binary, tokens long, distinct long, tables array<long>")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[key].dataType
     blocks = written(tokenized(docs, key, text), "blocks")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // SHARD_TOKENS))
     hot = hot_words(blocks, shards)
-    leaf = written(leaves(bigram_requests(blocks, shards, hot), shards), "leaves")
-    tables = leaf.where("kind = 1")
-    customers = tables.agg(F.sum("total")).first()[0] or 0
-    root = written(roots(word_requests(blocks, shards), tables, shards, customers), "roots")
-    said = root.where("block = -1").agg(F.sum("tokens"), F.sum("distinct"), F.sum("tables")).first()
-    tokens, distinct, seated = int(said[0] or 0), int(said[1] or 0), float(said[2] or 0)
+    leaf = written(leaves(bigram_requests(blocks, shards, hot), shards, hot), "leaves")
+    up_tables = leaf.where("kind = 1")
+    sums = lambda df, name: [int(x or 0) for x in df.agg(*(F.sum(F.col(name)[i]) for i in range(SAMPLES))).first()]
+    customers = sums(up_tables, "total")
+    root = written(roots(word_requests(blocks, shards), up_tables, shards, customers), "roots")
+    said = root.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct, seated = int(said[0] or 0), int(said[1] or 0), sums(root.where("block = -1"), "tables")
+    out_kind = to_arrow_type(kind)
 
     def finish(batches):
         for _, rows in _grouped(batches, "block"):
             x = Read(next(r for r in rows if r["kind"] == 2))
+            n, m = len(x.words), len(x.pairs)
             shard_of = (mix(x.words & _SHORT) % np.uint64(shards)).astype(np.int64)
-            count, up = np.zeros(len(x.words), np.int64), np.zeros(len(x.words))
+            count, parent_c, parent_t = np.zeros(n, np.int64), np.zeros((SAMPLES, n), np.int64), np.zeros((SAMPLES, n), np.int64)
             word_at, pair_at = dict(_in_order(shard_of, shards)), {k: (at, u) for k, at, u, _ in x.asked(shards, hot)}
-            left, pull = np.zeros(len(x.pairs)), np.full(len(x.words), S_LEAF)
+            c, t, home_t = np.zeros(m, np.int64), np.zeros((SAMPLES, m), np.int64), np.zeros((SAMPLES, n), np.int64)
             for r in rows:
                 if r["kind"] == 1:
                     at = word_at[r["shard"]]
-                    count[at], up[at] = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.float32)
+                    count[at] = unpack(r["a"], len(at))
+                    both = unpack(r["b"], 2 * SAMPLES * len(at)).reshape(2 * SAMPLES, -1)
+                    parent_c[:, at], parent_t[:, at] = both[:SAMPLES], both[SAMPLES:]
                 elif r["kind"] == 0:
                     at, u = pair_at[r["shard"]]
-                    left[at] = np.frombuffer(r["a"], np.float32)
-                    pull[u] += np.frombuffer(r["b"], np.float32)
-            parent = (up + (S_ROOT + D_ROOT * seated) / (distinct + 1)) / (S_ROOT + customers)
-            p = (left + pull[x.u] * parent[x.w]) / (S_LEAF + count[x.u])
+                    both = unpack(r["a"], (1 + SAMPLES) * len(at)).reshape(1 + SAMPLES, -1)
+                    c[at], t[:, at] = both[0], both[1:]
+                    home_t[:, u] += unpack(r["b"], SAMPLES * len(u)).reshape(SAMPLES, -1)
+            p = np.zeros(m)
+            for k in range(SAMPLES):
+                parent = (parent_c[k] - D_ROOT * parent_t[k] + (S_ROOT + D_ROOT * seated[k]) / (distinct + 1)) / (S_ROOT + customers[k])
+                p += (c - D_LEAF * t[k] + (S_LEAF + D_LEAF * home_t[k])[x.u] * parent[x.w]) / (S_LEAF + count[x.u]) / SAMPLES
             sums = lambda v: np.add.reduceat(v, np.cumsum(x.sizes) - x.sizes)
             base = np.log10((count + 1) / (tokens + distinct + 1))
             yield pa.RecordBatch.from_arrays([
-                pa.array(x.docs, pa.int64()), pa.array(x.held), pa.array(x.sizes), pa.array(sums((count > 0).astype(np.int64)[x.ids])), pa.array(np.full(len(x.sizes), tokens)),
+                pa.array(x.docs, out_kind), pa.array(x.held), pa.array(x.sizes), pa.array(sums((count > 0).astype(np.int64)[x.ids])), pa.array(np.full(len(x.sizes), tokens)),
                 pa.array(sums(base[x.ids])), pa.array(sums(np.log10(p)[x.back])),
             ], ["_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<long>"), ("held", "array<boolean>"), ("sizes", "binary"), ("ids", "binary"), ("words", "binary"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("docs", f"array<{kind.simpleString()}>"), ("held", "array<boolean>"), ("sizes", "binary"), ("ids", "binary"), ("words", "binary"))]
     answers = leaf.where("kind = 0").select("kind", "block", "shard", "a", "b", *none)
     words = root.where("block >= 0").select(F.lit(1).alias("kind"), "block", "shard", "a", "b", *none)
     own = blocks.select(F.lit(2).alias("kind"), "block", F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "docs", "held", "sizes", "ids", "words")
     all_of = answers.unionByName(words).unionByName(own).repartition(shards, "block").sortWithinPartitions("block", "kind", "shard")
-    out = all_of.mapInArrow(finish, "_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("_key", key)
+    out = all_of.mapInArrow(finish, f"_key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(out.withColumnRenamed("_key", key), "scores")
+    discard(blocks, leaf, root)
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from brute import components, jaccard_at_least, words
 
-from tessitura.llm import decontaminate, line_dedup, minhash, pitman_yor, quality_classifier, substring_dedup
+from tessitura.llm import decontaminate, line_dedup, minhash, pitman_yor, quality_classifier, seating, substring_dedup
 
 SCHEMA = "doc_id long, text string, line string, id long, block long, word string"
 
@@ -205,30 +205,88 @@ def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     c = rng.integers(1, 300, 50)
     home, dish = np.repeat([0, 1], 25), np.concatenate((np.arange(25), np.arange(10, 35)))
-    mean, last = pitman_yor.sample_shard(c, home, dish, 5)
-    assert (mean >= 1).all() and (mean <= c).all() and (mean[c == 1] == 1).all()
-    up = np.bincount(dish, last).astype(np.int64)
-    t, _ = pitman_yor.sample_root(up, 1 / 36, 1.0, 6)
-    parent = (up - pitman_yor.D_ROOT * t + (pitman_yor.S_ROOT + pitman_yor.D_ROOT * t.sum()) / 36) / (pitman_yor.S_ROOT + up.sum())
-    assert math.isclose(parent.sum() + (pitman_yor.S_ROOT + pitman_yor.D_ROOT * t.sum()) / 36 / (pitman_yor.S_ROOT + up.sum()), 1)
-
-
-def test_seating_follows_the_restaurant_process():
-    """Mean tables of one dish by Gibbs equal those of seating from an empty room."""
-    n, d, pull = 6, 0.5, 0.7
-    # exact by enumeration of the number of tables: weights pull^t times generalised Stirling numbers
-    s = np.zeros((n + 1, n + 2))
-    s[1, 1] = 1
-    for m in range(1, n):
-        for t in range(1, m + 1):
-            s[m + 1, t + 1] += s[m, t]
-            s[m + 1, t] += (m - d * t) * s[m, t]
-    w = np.array([pull**t * s[n, t] for t in range(1, n + 1)])
-    want = (w * np.arange(1, n + 1)).sum() / w.sum()
-    seating = pitman_yor.Seating(np.full(4000, n), d, np.full(4000, pull), 2)
-    for _ in range(30):
-        seating.sweep(np.full(4000, pull))
-    assert abs(seating.t.mean() - want) < 0.05
+    for t in pitman_yor.sample_shard(c, home, dish, np.ones(2, np.int64), 5):
+        assert (t >= 1).all() and (t <= c).all() and (t[c == 1] == 1).all()
+        up = np.bincount(dish, t).astype(np.int64)
+        root = pitman_yor.sample_root(up, 1 / 36, 1.0, rng)
+        rest = pitman_yor.S_ROOT + pitman_yor.D_ROOT * root.sum()
+        parent = np.append(up - pitman_yor.D_ROOT * root + rest / 36, rest / 36) / (pitman_yor.S_ROOT + up.sum())
+        assert math.isclose(parent.sum(), 1)
+        for k in (0, 1):
+            mine = np.zeros(36)
+            mine[dish[home == k]] = (c - pitman_yor.D_LEAF * t)[home == k]
+            p = (mine + (pitman_yor.S_LEAF + pitman_yor.D_LEAF * t[home == k].sum()) * parent) / (pitman_yor.S_LEAF + c[home == k].sum())
+            assert math.isclose(p.sum(), 1)
+
+
+def stirling_rows(d, sizes):
+    """Rows of generalised Stirling numbers (logarithms), by their recursion."""
+    row, out = np.array([0.0]), {1: np.array([0.0])}
+    for m in range(1, max(sizes)):
+        t = np.arange(1, m + 1)
+        stay, new = np.append(row + np.log(m - d * t), -np.inf), np.append(-np.inf, row)
+        row = np.logaddexp(stay, new)
+        if m + 1 in sizes:
+            out[m + 1] = row
+    return out
+
+
+@pytest.mark.parametrize("d", [pitman_yor.D_LEAF, pitman_yor.D_ROOT])
+def test_tables_of_a_dish_follow_the_exact_distribution(d):
+    """Mean tables for small and large dishes, within and beyond the table of Stirling numbers."""
+    sizes = (6, 20, 100, 128, 1000, 1500, 3000)
+    rng = np.random.default_rng(2)
+    for n, row in stirling_rows(d, sizes).items():
+        t = np.arange(1, n + 1)
+        for weight in (0.05, 0.5, 5, 60) if n > 1 else ():
+            odds = np.exp(row + t * math.log(weight) - (row + t * math.log(weight)).max())
+            want = (odds * t).sum() / odds.sum()
+            k = 20_000 if n <= 1000 else 500
+            got = seating.tables(np.full(k, n), np.full(k, float(weight)), d, rng).mean()
+            assert abs(got - want) < (0.02 if n <= 1000 else 0.08) * want, (n, weight, got, want)
+
+
+def test_production_sweeps_reach_the_long_run():
+    """Tables by dish size after the sweeps of production, from the first seating, against 40 sweeps more."""
+    rng = np.random.default_rng(3)
+    c = np.minimum(rng.zipf(1.6, 6000), 3000)
+    home, dish = np.arange(6000) // 60, rng.permutation(6000) % 900
+    few = pitman_yor.sample_shard(c, home, dish, np.ones(100, np.int64), 7)
+    many = pitman_yor.sample_shard(c, home, dish, np.ones(100, np.int64), 8, samples=40)[-20:]
+    for low, high in ((2, 20), (20, 128), (128, 1000), (1000, 3001)):
+        some = (c >= low) & (c < high)
+        assert some.sum() > 10 and abs(few[:, some].mean() / many[:, some].mean() - 1) < 0.05
+
+
+def test_held_out_perplexity_is_not_above_kneser_ney(spark):
+    """sf0.01 whole: against an interpolated Kneser-Ney bigram of the same vocabulary, with one unknown word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    pairs, tests = collections.Counter(), []
+    for r in rows:
+        held = zlib.crc32(str(r.doc_id).encode()) % 7 == 2
+        before = None
+        for w in [*words(r.text), None]:
+            tests.append((before, w)) if held else pairs.update([(before, w)])
+            before = w
+    follow, kinds, after = collections.Counter(), collections.Counter(), collections.Counter()
+    for (u, w), n in pairs.items():
+        follow[u] += n
+        kinds[u] += 1
+        after[w] += 1
+    d, kn = 0.75, 0.0
+    for u, w in tests:
+        one = max(after[w] - d, 0) / len(pairs) + d * len(after) / len(pairs) / (len(after) + 1)
+        kn += math.log10((max(pairs[u, w] - d, 0) + d * kinds[u] * one) / follow[u]) if follow[u] else math.log10(one)
+    ours = sum(r.score for r in pitman_yor.query(docs).where("held_out").collect())
+    assert ours >= kn, (10 ** (-ours / len(tests)), 10 ** (-kn / len(tests)))
+
+
+def test_scores_with_keys_of_text_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([("a", "x y z", 1, 2), ("a", "x y z", 1, 2), (None, "x y", 1, 2)], "doc_id string, text string, block long, _held long")
+    got = pitman_yor.query(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["None", "a", "a"]
+    assert len({r.score for r in got if r.doc_id == "a"}) == 1
 
 
 def test_scores_of_an_empty_table(spark):
