@@ -50,23 +50,49 @@ def as_hashes(per_cent: int) -> Callable[[memoryview], tuple[np.ndarray, int]]:
     return lambda raw: (np.frombuffer(raw, np.uint64), per_cent)
 
 
+def forest(batches):
+    """One edge (u, v: the smallest id that this task's edges connect it with) for each id of a task's edges that is not the smallest."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, both = np.unique(np.concatenate((u, v)), return_inverse=True)
+        u, v = both[: len(u)], both[len(u) :]
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[u], root[v])
+            before = root.copy()
+            np.minimum.at(root, root[u], low)
+            np.minimum.at(root, root[v], low)
+            while (root[root] != root).any():
+                root = root[root]
+            if (before == root).all():
+                break
+        hang = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hang]), pa.array(ids[root[hang]])], ["u", "v"])
+
+
 def components(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """id and component (the smallest id reachable) for every id in ``edges`` (a, b); its table is added to ``scratch``."""
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    state = written(ends, "edges")
+    """id and component (the smallest id reachable) for every id in ``edges`` (a, b); its table is added to ``scratch``.
+
+    A distributed union-find: each task joins what its own edges connect and passes on a
+    forest of stars, large-star and small-star merge the forests, until all are stars.
+    """
+    state, before = edges.select(F.col("a").alias("u"), F.col("b").alias("v")), None
     while True:
+        state = written(state.mapInArrow(forest, "u long, v long"), "edges")
+        if before is not None:
+            discard(before)
+        # done when all are stars: each id hangs once, and no centre hangs
+        ends = state.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("n")))
+        left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("k")).where("n > 1 OR n = 1 AND k > 0")
+        if left.isEmpty():
+            break
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hang = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, state = state, written(hang.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(before)
-        # done when all are stars: each id hangs once, and no centre hangs
-        ends = state.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("n")).distinct())
-        left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("n > 1 OR n = 1 AND k > 1")
-        if left.isEmpty():
-            break
+        before, state = state, hang.unionByName(low.select("u", F.col("m").alias("v")))
     scratch.append(state)
     roots = state.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
@@ -186,10 +212,13 @@ class _Search:
         mixed = self.kept(_mixed(crowd, self.found, hot), "mixed")
         if mixed.isEmpty():
             return None
-        lists = mixed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
-        lists = self.kept(lists.groupBy("n", "ids").agg(F.min("key").alias("key")).select("key", "n"), "lists")
+        sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+        lists = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("ids").alias("ids"))
+        lists = lists.groupBy("n", "ids").agg(F.min(F.struct("key", "main", "most")).alias("x")).select("n", "x.key", "x.main", "x.most")
+        lists = self.kept(lists, "lists")
         some = lists if most is None else lists.where(f"n <= {most}")
-        self.add(_blocks(self.kept(joined(mixed, some.select("key"), ["key"], hot), "lists"), self.sets, self.unpack))
+        some = some.select("key", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
+        self.add(_blocks(joined(mixed, some, ["key"], hot), self.sets, self.unpack))
         if most is None or lists.where(f"n > {most}").isEmpty():
             return None
         return self.kept(joined(mixed, lists.where(f"n > {most}").select("key"), ["key"], hot).select("key", "id"), "large")
@@ -198,6 +227,8 @@ class _Search:
 def _mixed(crowd: DataFrame, found: DataFrame, hot: list[int]) -> DataFrame:
     """Rows (key, id, component) of the buckets that hold more than one component."""
     named = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    if not hot:
+        named = named.repartition("key")  # one exchange serves the counts and the join
     mixed = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
     return joined(named, mixed, ["key"], hot)
 
@@ -248,17 +279,14 @@ def _rare(apart: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tupl
     return out
 
 
-def _blocks(mixed: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tuple[np.ndarray, int]]) -> DataFrame:
+def _blocks(member: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tuple[np.ndarray, int]]) -> DataFrame:
     """Links (a, b) between components: at least one for each two that share a bucket and are linked.
 
-    In a bucket, the members outside its main component are compared with all members,
-    block by block, inside the tasks: no pair leaves a task but one link for each
-    member and component.
+    ``member``: key, id, component, main (the bucket's main component) and how many blocks of
+    outer and of inner members the bucket has.  The members outside the main component are
+    compared with all members, block by block, inside the tasks: no pair leaves a task but
+    one link for each member and component.
     """
-    sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    main = main.select("key", "main", F.ceil((F.col("n") - F.col("most")) / OUTER).cast("int").alias("outer"), F.ceil(F.col("n") / INNER).cast("int").alias("inner"))
-    member = joined(mixed, main, ["key"], frequent(mixed))
     h = F.abs(F.xxhash64("id") % (1 << 40))
     # a bucket of one cell has every member once: role 0 (held) or 1; others have those outside the main component twice
     whole = (F.col("outer") == 1) & (F.col("inner") == 1)

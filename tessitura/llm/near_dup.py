@@ -139,14 +139,13 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     same = ["print_a", "print_b", "n_shingles"]
     known = every.where("id IS NOT NULL")
     # rows with one id: the largest set stands for all of them
-    again = written(known.groupBy("id").agg(F.count("*").alias("rows"), F.max(F.struct(*same[::-1][:1], *same[:2])).alias("s")).where("rows > 1").select("id", *(F.col(f"s.{c}").alias(f"of_{c}") for c in same)), "again")
+    again = known.groupBy("id").agg(F.count("*").alias("rows"), F.max(F.struct("n_shingles", "print_a", "print_b")).alias("s")).where("rows > 1").select("id", *(F.col(f"s.{c}").alias(f"of_{c}") for c in same))
     if not again.isEmpty():
         known = known.join(again, "id", "left").where("of_n_shingles IS NULL OR n_shingles = of_n_shingles AND print_a = of_print_a AND print_b = of_print_b").drop(*(f"of_{c}" for c in same)).dropDuplicates(["id"])
     copies = written(known.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     hot = [r[0] for r in copies.where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), "print_a").limit(HOT).select("print_a").collect()]
-    twins = joined(known.select("id", *same), copies.drop("n"), same, hot, "print_a").select("id", "n_shingles", "rep")
-    twins = written(twins, "twins")
-    lone = known.where("n_shingles > 0").join(twins.where("id != rep").select("id").distinct(), "id", "left_anti")
+    twins = written(joined(known.select("id", *same), copies.drop("n"), same, hot, "print_a").select("id", "rep"), "twins")
+    lone = known.where("n_shingles > 0").join(twins.where("id != rep").select("id"), "id", "left_anti")
     lone = written(lone.select("id", "n_shingles", "bands", "sketch"), "representatives")
     sketches = lone.select("id", "n_shingles", "sketch")
 
@@ -158,17 +157,14 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
         lambda pairs: sketched_alike(pairs, sketches),
         scratch=scratch,
     )
-    member = every.select("id", "n_shingles").join(twins.select("id", "rep"), "id", "left")
-    member = member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    hot = [r[0] for r in copies.where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), "print_a").limit(HOT).select("rep").distinct().collect()]
+    # a new component for each id that has one of others: ids are distinct here, so no key is hot
     few = found.withColumnRenamed("id", "rep")
-    lost = member.where("rep IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component"))
-    there = F.coalesce(F.col("rep").isin(hot), F.lit(False)) if hot else F.lit(False)
-    cold = member.where(F.col("rep").isNotNull() & ~there).join(few, "rep", "left")
-    warm = member.where(there).join(F.broadcast(few.where(F.col("rep").isin(hot))), "rep", "left") if hot else None
-    both = cold if warm is None else cold.unionByName(warm)
-    out = written(both.select("id", "n_shingles", F.coalesce("component", "rep").alias("component")).unionByName(lost), "classes")
-    discard(every, again, copies, twins, lone, *scratch)
+    heads = copies.where(F.col("rep").isNotNull()).join(few, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    of_twins = joined(known.select("id", *same), heads, same, hot, "print_a").select("id", "component")
+    names = of_twins.unionByName(found.join(twins.select("id"), "id", "left_anti"))
+    out = every.select("id", "n_shingles").join(names, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    out = written(out, "classes")
+    discard(every, copies, twins, lone, *scratch)
     return out
 
 
