@@ -6,9 +6,13 @@
    known verdicts; a pair that is new is settled by merging its bytes exactly, once.
 3. *Repair*: words with a bad pair are merged exactly by rank.
 
-Any text gets exactly the ids of the reference vocabulary's own merge order.  Null
-texts count as empty.  Memory: one Arrow batch of texts, and a cache of pre-tokens
-that starts anew at ``CACHE`` entries.  The vocabulary file is a parameter and is
+Any text gets exactly the ids of the reference vocabulary's own merge order.
+
+Defined results: null texts count as empty; repeated rows and keys are encoded one by one
+and alike; merges of equal rank go leftmost first; keys may be of any type; other columns
+are ignored, whatever their names; an empty table gives an empty one; very long texts are
+one piece each.  Memory: one Arrow batch of texts, and caches of
+pre-tokens and verdicts that start anew at ``CACHE`` and four times as many entries.  The vocabulary file is a parameter and is
 read where the work runs; it has a fixed size.
 """
 
@@ -131,6 +135,8 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHE:
             self.words.clear()
+        if len(self.known) > 4 * CACHE:
+            self.known, self.fits = self.known[:0], self.fits[:0]
         cut = [self.cut(t) if t and self.cut and any(s in t for s in self.special) else [t or ""] for t in texts]
         parts = [[p if i % 2 else self.split(p) for i, p in enumerate(x)] for x in cut]
         fresh = list({w for x in parts for p in x[::2] for w in p if w not in self.words})

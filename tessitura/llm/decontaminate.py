@@ -9,12 +9,19 @@ item if its runs, on diagonals at most ``SHIFT`` apart (words put in or left out
 at least ``MIN_EQUAL`` equal words, or four fifths of a shorter item.
 
 The penalty is as large as the gain, so a run goes on while more than half of its words
-are equal.  Items of fewer than ``MIN_ITEM`` words never match; items no longer than a
-mask are also sought with any one word left out.  Benchmark items are the query set: they go to the tasks in slices of at
-most ``SLICE_BYTES`` of text, each checked before it is broadcast, one pass over the
-documents for each slice, so a benchmark of any size works in bounded memory.  All
-documents are searched, whole.  Null texts and items match nothing; repeated items and
-documents each report by their id; other columns are ignored.
+are equal.  Items no longer than a mask are also sought with any one word left out.
+Benchmark items are the query set: they go to the tasks in slices of at most
+``SLICE_BYTES`` of text, each checked before it is broadcast, one pass over the documents
+for each slice, so a benchmark of any size works in bounded memory.  All documents are
+searched, whole.
+
+Defined results: items of fewer than ``MIN_ITEM`` words never match (they are too short to
+tell a copy from chance), nor do null and empty texts and items; repeated items and
+documents each report by their id; of equally good runs on a diagonal the longest counts,
+and of equally good diagonals the one that starts first; very long texts are searched a
+block at a time, with no cut inside a text; keys may be of any type; other columns are
+ignored by ``contaminated`` and carried by ``drop_contaminated``, whatever their names; an
+empty table of either kind gives no rows, or leaves all.
 """
 
 from __future__ import annotations
@@ -26,8 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessitura.llm.common import Tokens, hash_strings, mix
+from tessitura.llm.common import Tokens, discard, hash_strings, mix, quoted, written
 
 MASKS = ("11011011", "11100111", "10110111", "11111000", "11010101", "10011011")
 MIN_EQUAL, MIN_ITEM, MISS, SHIFT, SLICE_BYTES = 10, 5, 1, 4, 8_000_000
@@ -140,37 +148,59 @@ def slices(benchmark: DataFrame, key: str, text: str, limit: int):
         yield ids, texts
 
 
+def _hits(batch: pa.RecordBatch, column: int, seeds: Seeds):
+    """(first row, contaminations) of runs of rows of some megabytes."""
+    size = np.cumsum(np.array([v or 0 for v in pc.binary_length(batch.column(column)).to_pylist()], np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + 8_000_000, side="right")))
+        yield i, seeds.search(batch.column(column).slice(i, j - i))
+        i = j
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """key, item key, first_word, n_words (spanned), n_equal for each document and item that overlap."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    schema = f"_key {kind}, _item {item_kind}, first_word long, n_words long, n_equal long"
-    context = docs.sparkSession.sparkContext
+    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
+    schema = f"_key {kind}, _item {item_kind.simpleString()}, first_word long, n_words long, n_equal long"
+    context, item_type = docs.sparkSession.sparkContext, to_arrow_type(item_kind)
     found = [docs.sparkSession.createDataFrame([], schema)]
     for ids, texts in slices(benchmark, item_key, item_text, slice_bytes):
         seeds = context.broadcast(Seeds(ids, texts))  # of checked size
 
         def run(batches, seeds=seeds):
             for b in batches:
-                size = np.cumsum(np.array([v or 0 for v in pc.binary_length(b.column(1)).to_pylist()], np.int64))
-                i = 0
-                while i < b.num_rows:
-                    j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + 8_000_000, side="right")))
-                    got = seeds.value.search(b.column(1).slice(i, j - i))
+                for i, got in _hits(b, 1, seeds.value):
                     if got:
                         d, item, first, n, same = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + x for x in d])), pa.array(item, pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None), *(pa.array(x, pa.int64()) for x in (first, n, same))], ["_key", "_item", "first_word", "n_words", "n_equal"])
-                    i = j
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + x for x in d])), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (first, n, same))], ["_key", "_item", "first_word", "n_words", "n_equal"])
 
-        found.append(docs.select(F.col(key).alias("_key"), text).mapInArrow(run, schema))
+        found.append(docs.select(F.col(quoted(key)).alias("_key"), quoted(text)).mapInArrow(run, schema))
     out = reduce(DataFrame.unionByName, found)
     return out.withColumnRenamed("_key", key).withColumnRenamed("_item", item_key)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no item; rows are told apart by key and text."""
-    named = docs.withColumn("_row", F.xxhash64(key, text))
-    bad = contaminated(named, benchmark, "_row", text).select("_row").distinct()
-    return named.join(bad, "_row", "left_anti").drop("_row")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that overlap no item.
+
+    A slice is one pass that lets clean rows through, whole, so no text is shuffled; between
+    slices the rows are written, so a task holds one slice at a time.
+    """
+    context, at, held = docs.sparkSession.sparkContext, docs.columns.index(text), None
+    for n, (ids, texts) in enumerate(slices(benchmark, "item_id", "text", slice_bytes)):
+        if n:
+            done = written(docs, "clean")
+            if held is not None:
+                discard(held)
+            docs = held = done
+        seeds = context.broadcast(Seeds(ids, texts))  # of checked size
+
+        def run(batches, seeds=seeds):
+            for b in batches:
+                bad = {i + hit[0] for i, got in _hits(b, at, seeds.value) for hit in got}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -7,9 +7,15 @@ scorer over hashed features, fitted on a documented, bounded sample: the ``SAMPL
 documents whose key has the smallest hash.  The scorer is a fixed array of
 ``2 ** HASH_BITS`` numbers, so it is safe to broadcast, and it scores every document.
 
-Texts that are null or have no word get no votes: their posterior is the prior, their
-score 0, and they are not kept.  Repeated keys and rows are scored one by one; ties in
-the sample's hash are broken by the key.  An empty table gives an empty result.
+Of the sample, documents beyond ``SAMPLE_BYTES`` of text in all are left out, so the fit
+on the driver is bounded in bytes too.
+
+Defined results: texts that are null or have no word get no votes: their posterior is the
+prior, their score 0, and they are not kept; repeated keys and rows are scored one by one,
+and in the sample the longest text stands for a key; ties in the sample's hash are broken
+by the key; scores at the threshold are kept; very long texts are counted whole; keys may
+be of any type that can be ordered; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +23,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, hash_strings, mix, written
+from tessitura.llm.common import Tokens, hash_strings, mix, quoted, written
 
-SAMPLE, HASH_BITS, ROUNDS = 4000, 16, 30
+SAMPLE, SAMPLE_BYTES, HASH_BITS, ROUNDS = 4000, 64_000_000, 16, 30
 #: prior of the votes (reject, abstain, keep) on good and on bad texts, and its weight as a share of all texts
 VOTES_GOOD, VOTES_BAD, PRIOR_WEIGHT = (0.01, 0.1, 0.89), (0.4, 0.1, 0.5), 0.1
 LABELLERS = ("symbol_words", "symbol_chars", "bars", "echoes", "one_word", "variety", "word_length", "shouting", "exclaims")
@@ -126,7 +132,7 @@ def fit_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: n
 
 
 def label(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and votes int: the votes as digits of base 3, first labeller lowest; -1 for texts without words."""
+    """key, votes int (digits of base 3, first labeller lowest; -1 for texts without words), size and mark (bytes and hash of the text)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -134,9 +140,11 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             if b.num_rows:
                 x = Batch(b.column(1))
                 coded = np.where(x.n > 0, x.votes() @ 3 ** np.arange(len(LABELLERS)), -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coded, pa.int32())], ["_key", "votes"])
+                size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coded, pa.int32()), size, b.column(2)], ["_key", "votes", "size", "mark"])
 
-    return docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, votes int").withColumnRenamed("_key", key)
+    rows = docs.select(F.col(quoted(key)).alias("_key"), quoted(text), F.xxhash64(quoted(text)).alias("mark"))
+    return rows.mapInArrow(run, f"_key {kind}, votes int, size long, mark long").withColumnRenamed("_key", key)
 
 
 def decoded(votes: np.ndarray) -> np.ndarray:
@@ -149,7 +157,11 @@ def train(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     if not rows:
         return np.zeros(1 + 3 * len(LABELLERS)), np.zeros(2**HASH_BITS, np.float32)
     model = fit_votes(decoded(np.array([r[0] for r in rows])), np.array([r[1] for r in rows], float))
-    chosen = labelled.where("votes >= 0").select(F.col(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(sample)
+    # of repeated keys the longest text stands for all; at most ``sample`` rows go through the window
+    chosen = labelled.where("votes >= 0").select(F.col(quoted(key)).alias("_key"), "size", "mark").groupBy("_key").agg(F.max(F.struct("size", "mark")).alias("s"))
+    chosen = chosen.select("_key", "s.size", "s.mark", F.xxhash64("_key").alias("_order")).orderBy("_order", "_key").limit(sample)
+    chosen = chosen.withColumn("_sum", F.sum("size").over(Window.orderBy("_order", "_key").rowsBetween(Window.unboundedPreceding, -1)))
+    chosen = chosen.where(f"_sum IS NULL OR _sum + size <= {SAMPLE_BYTES}").select("_key", "mark")
 
     def run(batches):
         for b in batches:
@@ -161,8 +173,9 @@ def train(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
             p = posterior(model, x.votes())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, feature[order].astype(np.int32)), pa.ListArray.from_arrays(offsets, value[order].astype(np.float32)), pa.array(p)], ["f", "v", "p"])
 
-    some = docs.select(F.col(key).alias("_key"), text).join(F.broadcast(chosen), "_key", "left_semi").select(text).mapInArrow(run, "f array<int>, v array<float>, p double")
-    got = some.limit(sample).toArrow()  # bounded by the sample
+    some = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"), F.xxhash64(quoted(text)).alias("mark")).join(F.broadcast(chosen), ["_key", "mark"], "left_semi")
+    some = some.dropDuplicates(["_key"]).orderBy(F.xxhash64("_key"), "_key").select("_text").mapInArrow(run, "f array<int>, v array<float>, p double")
+    got = some.toArrow()  # bounded by the sample, in rows and bytes
     if not got.num_rows:
         return model, np.zeros(2**HASH_BITS, np.float32)
     f, v = (got.column(c).combine_chunks() for c in ("f", "v"))
@@ -185,7 +198,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
                 score[x.n == 0] = 0
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(posterior(model, x.votes())), pa.array(score), pa.array((score >= threshold) & (x.n > 0))], ["_key", "weak_label", "score", "kept"])
 
-    return docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, weak_label double, score double, kept boolean").withColumnRenamed("_key", key)
+    return docs.select(F.col(quoted(key)).alias("_key"), quoted(text)).mapInArrow(run, f"_key {kind}, weak_label double, score double, kept boolean").withColumnRenamed("_key", key)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -9,9 +9,14 @@ The patterns are bounded (three votes for each of eight rules: at most 6,561),
 so the EM runs as one fold over an array of at most that many entries, whatever
 the size of the corpus; its input is an ordinary partial aggregation.
 
-Nulls and empty texts have no words; they fail the base rule.  Repeated windows
-are compared by a 64-bit hash of their three words, within one text.  Columns of
-the input other than the key and the text are not looked at.
+Repeated windows are compared by a 64-bit hash of their three words, within one text.
+
+Defined results: null and empty texts have no words and fail the base rule; repeated rows
+and rows with equal or null keys are judged one by one and alike; keys may be of any type;
+a rule that is exactly at a limit keeps or abstains, as its comparison says; posteriors at
+the threshold keep; very long texts are counted whole, in arrays of one row; other columns
+are not looked at by ``judge`` and carried by ``keep_good``, whatever their names; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import written
+from tessitura.llm.common import quoted, written
 
 ROUNDS = 20
 #: Prior of each rule's votes (reject, abstain, keep) on good and on bad texts, and its
@@ -51,7 +56,7 @@ _WHITE = "concat(' ', decode(unhex('090A0B0C0D'), 'UTF-8'))"
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the five contract counts and n_lines, n_distinct, n_bars, n_marks, n_runs (all long); one pass, no shuffle."""
-    t = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = docs.select(F.col(quoted(key)).alias("_key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_t"))
     t = t.selectExpr(
         "_key", "_t", f"array_remove(split(translate(_t, {_WHITE}, '      '), ' '), '') AS _w",
         r"filter(split(_t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]') AS _l",
@@ -120,10 +125,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows are told apart by key and text."""
-    named = docs.withColumn("_row", F.xxhash64(key, text))
-    good = judge(named, "_row", text, threshold).where("kept").select("_row")
-    return named.join(good, "_row", "left_semi").drop("_row")
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Whole rows travel with their counts through the one pass, so no text is shuffled.
+    """
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(text)).alias("text"))
+    return judge(rows, "row", "text", threshold).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

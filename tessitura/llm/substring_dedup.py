@@ -18,10 +18,14 @@ Rows travel as packed arrays, dealt by the hash of the digit; a task keeps each
 digit once, with its first place, and streams the others past it, so a string that
 occurs in a third of all documents costs no task more memory than one that occurs twice.
 
-Digits are compared by 64-bit hashes.  Documents are told apart by id and text: equal
-rows with an equal id are one document.  Null texts are empty; texts below ``WINDOW``
-bytes lose nothing; long texts are cut into pieces that overlap by ``WINDOW`` - 1 bytes.
-Other columns are ignored.
+Digits are compared by 64-bit hashes.
+
+Defined results: documents are told apart by key and text, so equal rows with an equal (or
+null) key are one document, which doesn't repeat itself by being there twice; null texts
+are empty; texts below ``WINDOW`` bytes lose nothing; long texts are cut into pieces that
+overlap by ``WINDOW`` - 1 bytes; all copies of a string go, none is the first; keys may be
+of any type; other columns are carried by ``with_spans``, whatever their names, and
+ignored by ``query``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import mix, written
+from tessitura.llm.common import mix, quoted, written
 from tessitura.llm.linking import bitmap, flagged
 
 WINDOW, ANCHOR, CELLS, BLOCK = 400, 80, 3, 2_000_000
@@ -282,9 +286,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, an
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` and starts, ends array<int> of the byte runs to remove (null: none)."""
-    named = docs.withColumn("_doc", F.xxhash64(key, text))
-    return named.join(written(repeated_spans(named, text, window, anchor), "spans"), "_doc", "left").drop("_doc")
+    """``docs`` and starts, ends array<int> of the byte runs to remove (null: none), in place of columns of these names."""
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(text)).alias("text"), F.xxhash64(quoted(key), quoted(text)).alias("_doc"))
+    out = rows.join(written(repeated_spans(rows, "text", window, anchor), "spans"), "_doc", "left")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("starts", "ends")), "starts", "ends")
 
 
 def cut(raw: bytes, starts, ends) -> bytes:

@@ -2,17 +2,22 @@
 
 Records are written in order of their key; record keys fall into files of
 ``2 ** (BITS * FILE_LEVELS)`` consecutive keys.  Over the keys stands a hash tree of
-fan-out ``2 ** BITS``: a leaf hashes one record, a node hashes its children's numbers
-and hashes in order, a file is a node, the root is the last.  Two replicas are compared
-from the root; only children of nodes that differ are looked at below, so where
-replicas agree the audit reads one row.
+fan-out ``2 ** BITS``: a leaf hashes the bytes of one record; a node hashes, in order, its
+children's numbers, the byte range of each from the node's own start, and their hashes; a
+file is a node, the root is the last.  Ranges are counted from the node's start, so a
+record that has grown changes the nodes above it and no others.  Two replicas are compared
+from the root; only children of nodes that differ are looked at below, so where replicas
+agree the audit reads one row.
 
 Every level is a group of at most ``2 ** BITS`` children, so no task gathers more,
 whatever the size or skew of the archive.  Rows of one key are told apart by a number
 within the key (ordered by their bytes); a key with many rows is first reduced to
 one leaf by an order-free sum of record hashes, which is a partial aggregation.
 
-A null url or html counts as empty; a null key is the key -1.  Other columns are ignored.
+Defined results: a null url or html counts as empty; line ends and other control characters
+in a url are written as their percent codes, so that no url can end a header; a null key is
+the key -1, together with rows of that key; other columns are ignored, whatever their
+names; very long records are one string each; an empty table gives an empty report.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ DATE = "2024-01-01T00:00:00Z"
 def record(key: Column, url: Column, body: Column) -> Column:
     """A WARC/1.0 resource record as a string."""
     body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
+    for c in ("\r", "\n"):
+        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
     return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), key.cast("string"), F.lit(">\r\nWARC-Target-URI: "), url,
         F.lit(f"\r\nWARC-Date: {DATE}\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
@@ -51,24 +58,39 @@ def write_files(records: DataFrame, path: str) -> None:
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """record_id, url, html, offset, length of every record of the files below ``path``."""
+    """record_id, url, html, offset, length, record (the bytes as text) of every record of the files below ``path``.
+
+    Bytes that are no record (a bad frame, a header cut off) come with a null id, up to the
+    next record; ``record`` has all bytes of the file, one after the other.
+    """
     import pandas as pd
 
+    def one(raw: bytes, at: int) -> tuple:
+        """Id, url, body and end of the record that starts at a place."""
+        end = raw.index(b"\r\n\r\n", at)
+        head = dict(x.split(b": ", 1) for x in raw[at:end].split(b"\r\n")[1:])
+        stop = end + 4 + int(head[b"Content-Length"])
+        if raw[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError("no record ends here")
+        return int(head[b"WARC-Record-ID"][12:-1]), head[b"WARC-Target-URI"].decode("utf-8", "replace"), raw[end + 4 : stop].decode("utf-8", "replace"), stop + 4
+
     def parse(frames):
         for frame in frames:
             rows = []
-            for path, raw in zip(frame["path"], frame["content"], strict=True):
+            for raw in frame["content"]:
                 raw, at = bytes(raw), 0
                 while at < len(raw):
-                    end = raw.index(b"\r\n\r\n", at)
-                    head = dict(x.split(b": ", 1) for x in raw[at:end].split(b"\r\n")[1:])
-                    stop = end + 4 + int(head[b"Content-Length"])
-                    rows.append((path, int(head[b"WARC-Record-ID"][12:-1]), head[b"WARC-Target-URI"].decode(), raw[end + 4 : stop].decode("utf-8", "replace"), at, stop + 4 - at))
-                    at = stop + 4
-            yield pd.DataFrame(rows, columns=["path", "record_id", "url", "html", "offset", "length"])
+                    try:
+                        name, url, body, stop = one(raw, at)
+                    except (ValueError, KeyError, IndexError):
+                        again = raw.find(b"WARC/1.0\r\n", at + 1)
+                        name, url, body, stop = None, None, None, again if again > 0 else len(raw)
+                    rows.append((name, url, body, at, stop - at, raw[at:stop].decode("utf-8", "replace")))
+                    at = stop
+            yield pd.DataFrame(rows, columns=["record_id", "url", "html", "offset", "length", "record"]).astype({"record_id": "Int64"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, record_id long, url string, html string, offset long, length long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInPandas(parse, "record_id long, url string, html string, offset long, length long, record string")
 
 
 def index(records: DataFrame) -> DataFrame:
@@ -90,11 +112,14 @@ def _in_file():
 
 
 def tree(indexed: DataFrame, levels: int) -> list[DataFrame]:
-    """Written tables (node, hash) from the leaves up; after ``levels`` steps a root is left (two if there are negative keys)."""
-    out = [indexed.select(F.col("record_id").alias("node"), F.col("leaf").alias("hash"))]
+    """Tables (node, length, hash), written, from the leaves up; after ``levels`` steps a root is left (two if there are negative keys)."""
+    out = [indexed.select(F.col("record_id").alias("node"), "length", F.col("leaf").alias("hash"))]
+    line = "concat_ws(' ', x.child, a.at, a.at + x.length, x.hash)"
+    lines = f"aggregate(c, named_struct('at', 0L, 'text', ''), (a, x) -> named_struct('at', a.at + x.length, 'text', concat(a.text, {line}, '\n')))"
     for _ in range(levels):
-        up = out[-1].groupBy(F.shiftright("node", BITS).alias("node")).agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("child"), "hash"))).alias("c"))
-        out.append(written(up.select("node", F.sha2(F.concat_ws("\n", F.transform("c", lambda c: F.concat_ws(" ", c["child"], c["hash"]))), 256).alias("hash")), "nodes"))
+        up = out[-1].groupBy(F.shiftright("node", BITS).alias("node")).agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("child"), "length", "hash"))).alias("c"))
+        up = up.select("node", F.expr(lines).alias("l")).select("node", F.col("l.at").alias("length"), F.sha2("l.text", 256).alias("hash"))
+        out.append(written(up, "nodes"))
     return out
 
 
@@ -114,7 +139,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = tree(left, levels), tree(right, levels)
     among = None
     for level in range(levels, -1, -1):
-        x, y = (t[level].withColumnRenamed("hash", n) for t, n in ((a, "left_leaf"), (b, "right_leaf")))
+        x, y = (t[level].drop("length").withColumnRenamed("hash", n) for t, n in ((a, "left_leaf"), (b, "right_leaf")))
         if among is not None:
             x, y = (t.join(among, F.shiftright(t["node"], BITS) == among["parent"], "left_semi") for t in (x, y))
         differ = x.join(y, "node", "full_outer").where(~F.col("left_leaf").eqNullSafe(F.col("right_leaf")))
@@ -135,15 +160,16 @@ def report(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica with known faults: for keys 13 mod 97 the last byte is lost, keys 5 mod 211 are missing."""
-    kept = pages.where("page_id % 211 != 5")
-    return kept.withColumn("html", F.expr("CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) ELSE html END"))
+    kept = pages.where("coalesce(page_id, -1) % 211 != 5")
+    return kept.withColumn("html", F.expr("CASE WHEN page_id % 97 = 13 AND html != '' THEN left(html, length(html) - 1) ELSE html END"))
 
 
 def query(pages: DataFrame) -> DataFrame:
     return report(to_records(pages), to_records(damaged(pages))).withColumnRenamed("record_id", "page_id")
 
 
-ORACLE_SQL = f"""WITH r AS (SELECT page_id, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:' || page_id || '>\r\nWARC-Target-URI: ' || coalesce(url, '')
-  || '\r\nWARC-Date: {DATE}\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(coalesce(html, '')) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' AS record FROM pages)
+ORACLE_SQL = f"""WITH p AS (SELECT coalesce(page_id, -1) AS page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, html, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:' || page_id || '>\r\nWARC-Target-URI: ' || url
+  || '\r\nWARC-Date: {DATE}\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' AS record FROM p)
 SELECT page_id, page_id >> {BITS * FILE_LEVELS} AS file, coalesce(sum(strlen(record)) OVER (PARTITION BY page_id >> {BITS * FILE_LEVELS} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-  strlen(record) AS length, sha256(record) AS sha256, CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'ok' END AS status FROM r""".replace("\\r\\n", "' || chr(13) || chr(10) || '")
+  strlen(record) AS length, sha256(record) AS sha256, CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 13 AND html != '' THEN 'corrupt' ELSE 'ok' END AS status FROM r""".replace("\\r\\n", "' || chr(13) || chr(10) || '")

@@ -39,3 +39,77 @@ def components(ids, linked):
 def jaccard_at_least(x, y, per_cent):
     n = len(x & y)
     return bool(x and y) and 100 * n >= per_cent * (len(x) + len(y) - n)
+
+
+def lines_left(rows):
+    """rows: (id, text) -> {id: (lines removed, text left)}; by all pairs of lines."""
+    places = {}
+    for i, t in sorted(rows):
+        for k, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                places.setdefault(line, (i, k))
+    names = list(places)
+    sets = [{k: frozenset(x[i : i + k] for i in range(len(x) - k + 1)) for k, low, high in ((5, 5, 130), (8, 104, 10**9)) if low <= len(x) <= high} for x in names]
+
+    def linked(a, b):
+        return any(k in sets[a] and k in sets[b] and jaccard_at_least(sets[a][k], sets[b][k], p) for k, p in ((5, 65), (8, 80)))
+
+    root = {names[i]: r for i, r in components(range(len(names)), linked).items()}
+    best = {}
+    for line, p in places.items():
+        best[root[line]] = min(best.get(root[line], p), p)
+    out = {}
+    for i, t in rows:
+        ls = (t or "").split("\n")
+        keep = [x for k, x in enumerate(ls) if not x.strip(" \t\n\x0b\x0c\r") or best[root[x]] == (i, k)]
+        out[i] = (len(ls) - len(keep), "\n".join(keep))
+    return out
+
+
+# benchmark passages
+MASKS = ("11011011", "11100111", "10110111", "11111000", "11010101", "10011011")
+
+
+def plain_words(text):
+    return [w.lower().strip(".,;:!?\"'()[]{}*#$%&|<>") for w in WORD.findall(text or "")]
+
+
+def best_run(equal):
+    """(equal words, start, end) of the run with most equal less unequal words; the longest of equals, the last, the first start."""
+    best = (0, 0, 0)
+    for e in range(1, len(equal) + 1):
+        for s in range(e):
+            gain = sum(1 if x else -1 for x in equal[s:e])
+            if gain > 0 and (gain, e, -s) > best:
+                best = (gain, e, -s)
+    return (sum(equal[-best[2] : best[1]]), -best[2], best[1])
+
+
+def overlaps(text, item):
+    """Whether the document holds the item, by all diagonals that a mask hits."""
+    d, w = plain_words(text), plain_words(item)
+    if len(w) < 5:
+        return False
+    masks = (MASKS if len(w) >= 8 else ()) + (tuple("1" * i + "0" + "1" * (len(w) - i - 1) for i in range(len(w))) if len(w) <= 8 else ())
+    hits = set()
+    for mask in masks:
+        at = [i for i, c in enumerate(mask) if c == "1"]
+        table = {}
+        for p in range(len(w) - len(mask) + 1):
+            table.setdefault(tuple(w[p + i] for i in at), []).append(p)
+        for q in range(len(d) - len(mask) + 1):
+            hits.update(q - p for p in table.get(tuple(d[q + i] for i in at), ()))
+    runs = []
+    for g in hits:
+        a, b = max(0, g), min(len(d), g + len(w))
+        n, s, e = best_run([d[i] == w[i - g] for i in range(a, b)])
+        if e > s:
+            runs.append((g, a + s, a + e, n))
+    if not runs:
+        return False
+    best = max(runs, key=lambda r: (r[3], -r[1]))
+    chosen = []
+    for r in sorted(runs, key=lambda r: -r[3]):
+        if abs(r[0] - best[0]) <= 4 and abs(r[1] - best[1]) <= 2 * len(w) and all(r[2] <= c[1] or r[1] >= c[2] for c in chosen):
+            chosen.append(r)
+    return sum(r[3] for r in chosen) >= min(10, -(-4 * len(w) // 5))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import components, jaccard_at_least, words
+from brute import lines_left, overlaps, words
 
 from tessitura.llm import decontaminate, line_dedup, minhash, pitman_yor, quality_classifier, seating, substring_dedup
 
@@ -27,41 +27,13 @@ def prose(seed, n):
 
 
 # line dedup ----------------------------------------------------------------------
-def lines_brute(rows):
-    places = {}
-    for i, t in sorted(rows):
-        for k, line in enumerate((t or "").split("\n")):
-            if line.strip(" \t\n\x0b\x0c\r"):
-                places.setdefault(line, (i, k))
-
-    def linked(a, b):
-        for low, high, k, per_cent in ((5, 130, 5, 65), (104, 10**9, 8, 80)):
-            if all(low <= len(x) <= high for x in (a, b)):
-                if jaccard_at_least(*(frozenset(x[i : i + k] for i in range(len(x) - k + 1)) for x in (a, b)), per_cent):
-                    return True
-        return False
-
-    names = list(places)
-    root = components(range(len(names)), lambda a, b: linked(names[a], names[b]))
-    root = {names[i]: r for i, r in root.items()}
-    best = {}
-    for line, p in places.items():
-        best[root[line]] = min(best.get(root[line], p), p)
-    out = {}
-    for i, t in rows:
-        ls = (t or "").split("\n")
-        keep = [x for k, x in enumerate(ls) if not x.strip(" \t\n\x0b\x0c\r") or best[root[x]] == (i, k)]
-        out[i] = (len(ls) - len(keep), "\n".join(keep))
-    return out
-
-
 def test_lines_against_all_pairs(spark):
     r = random.Random(3)
     base = [prose(i, n) for i, n in enumerate((12, 3, 5, 8, 17, 18, 19, 20, 22, 30, 60, 20, 20))] + ["é" + prose(50, 6), "日本語" * 3 + prose(51, 16)]
     pool = base + [b[: (k := r.randrange(len(b)))] + "#" + b[k + 1 :] for b in base for _ in range(4)] + ["", " ", "short", "short", "abc", "É" * 9, "\t"]
     texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(60)] + ["", None, "\n\n", "x" * 50_000]
     got = {r.doc_id: (r.n_lines_removed, r.text or "") for r in line_dedup.drop_lines(table(spark, texts)).collect()}
-    want = lines_brute(list(enumerate(texts)))
+    want = lines_left(list(enumerate(texts)))
     assert got == want
 
 
@@ -172,6 +144,13 @@ def test_passages_with_changed_added_and_lost_words_are_found_and_nothing_else(s
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contamination_equals_brute_force_on_a_whole_table(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    want = {(r.doc_id, i) for r in docs.collect() for i, t in items if overlaps(r.text, t)}
+    assert want and {(r.doc_id, r.item_id) for r in decontaminate.query(docs, bench).collect()} == want
+
+
 def test_windows_do_not_cross_documents():
     seeds = decontaminate.Seeds([1], ["a b c d e f g h i j k l"])
     assert seeds.search(pa.array(["a b c d e f", "g h i j k l"])) == []
@@ -305,6 +284,36 @@ def test_classifier_on_planted_junk(spark):
     assert quality_classifier.classify(table(spark, [])).collect() == []
 
 
+def test_classifier_against_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_classifier.query(docs).join(labels, "doc_id").collect()
+    good = [r.kept for r in rows if r.quality == 1]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+
+
+def votes_brute(patterns, counts, rounds):
+    """EM over vote patterns in plain Python: log odds and log ratios."""
+    k, total = len(patterns[0]), sum(counts)
+    priors = (quality_classifier.VOTES_GOOD, quality_classifier.VOTES_BAD)
+    tables = [[list(p) for _ in range(k)] for p in priors]
+    odds, weight = math.log(4), quality_classifier.PRIOR_WEIGHT * total
+    for _ in range(rounds):
+        g = [n / (1 + math.exp(-(odds + sum(math.log(tables[0][i][v] / tables[1][i][v]) for i, v in enumerate(x))))) for x, n in zip(patterns, counts, strict=True)]
+        masses = (g, [n - x for n, x in zip(counts, g, strict=True)])
+        tables = [[[(sum(m for m, x in zip(mass, patterns, strict=True) if x[i] == v) + weight * p[v]) / (sum(mass) + weight) for v in range(3)] for i in range(k)] for mass, p in zip(masses, priors, strict=True)]
+        odds = math.log((sum(g) + 1) / (total - sum(g) + 1))
+    return [odds, *(math.log(a / b) for x, y in zip(*tables, strict=True) for a, b in zip(x, y, strict=True))]
+
+
+def test_vote_model_equals_plain_em():
+    r = random.Random(4)
+    patterns = sorted({tuple(r.choice((0, 1, 2, 2)) for _ in range(9)) for _ in range(40)})
+    counts = [r.randint(1, 500) for _ in patterns]
+    got = quality_classifier.fit_votes(np.array(patterns), np.array(counts, float), 12)
+    assert np.allclose(got, votes_brute(patterns, counts, 12), rtol=1e-9)
+
+
 @pytest.mark.parametrize("sizes", [(10, 20), (200, 400)])
 def test_vote_model_is_finite(sizes):
     p = np.array([[2] * 9, [0] * 9])
