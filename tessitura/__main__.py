@@ -82,11 +82,9 @@ def main(argv: list[str] | None = None) -> None:
         for r in library.match(clip, 5, rate).orderBy(F.col("rank")).collect():  # five rows
             print(f"{r['rank']}. {r['name']}  score {r['score']:.4f}  offset {r['offset']}")
     else:
-        from tessitura.serve import Service, server
+        from tessitura.serve import Service, run
 
-        service = Service(spark)
-        service.load(a.library)
-        server(service, "0.0.0.0", a.port).serve_forever()
+        run(Service(spark), a.library, port=a.port)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 WINDOWS = ("", "hann", "hamming", "bartlett")
-ALGORITHMS = ("constellation", "subband")
+#: names that may be used; ``algorithms.register`` adds to them
+ALGORITHMS = ["constellation", "subband"]
 
 # Fixed values of the fingerprints.
 BIN_BITS, DELTA_BITS = 10, 12

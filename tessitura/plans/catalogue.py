@@ -12,7 +12,7 @@ from tessitura.functions import heat_colour, lsh_keys, metric_number, rfc3339
 from tessitura.operators import constellation as cons
 from tessitura.operators import spectrum as spec
 from tessitura.operators import subband as sub
-from tessitura.params import BANDS, LSH_BITS, LSH_POSITIONS, Params
+from tessitura.params import BANDS, LSH_BITS, LSH_POSITIONS, POSTING_CAP, Params
 from tessitura.sources.tables import embedding_bits, embedding_frames, event_signals, table
 
 #: Small windows suit the event signals: 9 bins, so the peak radii are 2 x 3.
@@ -66,7 +66,7 @@ _HASHES = _PEAKS + """, pr AS (SELECT a.signal_id, a.frame::BIGINT AS "offset",
     row_number() OVER (PARTITION BY a.signal_id, a.frame, a.bin ORDER BY t.frame, t.bin) AS rn, a.bin AS own_bin
   FROM pk a JOIN pk t ON t.signal_id = a.signal_id AND t.frame - a.frame BETWEEN 2 AND 60 AND abs(t.bin - a.bin) <= 64),
 hs AS MATERIALIZED (SELECT signal_id, "offset", hash, target_frame, target_bin, own_bin FROM pr WHERE rn <= 5)"""
-_VOTES = _HASHES + """, vt AS MATERIALIZED (SELECT s.signal_id AS sample_id, l.signal_id AS song_id, l."offset" - s."offset" AS delta, count(*) AS votes FROM hs s JOIN hs l ON l.hash = s.hash GROUP BY ALL),
+_VOTES = _HASHES + f""", ci AS (SELECT * FROM hs QUALIFY count(*) OVER (PARTITION BY hash) <= {POSTING_CAP}), vt AS MATERIALIZED (SELECT s.signal_id AS sample_id, l.signal_id AS song_id, l."offset" - s."offset" AS delta, count(*) AS votes FROM hs s JOIN ci l ON l.hash = s.hash GROUP BY ALL),
 bd AS (SELECT sample_id, song_id, delta, votes FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, song_id ORDER BY votes DESC, delta) AS rn FROM vt) WHERE rn = 1)"""
 _MATCH = _VOTES + f""", nh AS (SELECT signal_id, count(*) AS n_hashes FROM hs GROUP BY signal_id),
 tk AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, delta, song_id)::INT AS rank, song_id, votes / n_hashes AS score, votes, delta FROM bd JOIN nh ON nh.signal_id = sample_id QUALIFY rank <= {TOP})"""
@@ -169,6 +169,12 @@ def _both(spark, sf_dir):
     return hashes.select(F.col("signal_id").alias("sample_id"), "hash", "offset", F.struct("offset", "hash").alias("entry_id")), _as_index(hashes)
 
 
+def _probe(spark, sf_dir):
+    """The same, with the index as matching has it: without saturated keys."""
+    samples, index = _both(spark, sf_dir)
+    return samples, cons.capped(index)
+
+
 @query(f"""WITH {_HASHES} SELECT hash, count(*) AS n_postings, string_agg(signal_id || ':' || "offset", ' ' ORDER BY signal_id, "offset") AS postings FROM hs GROUP BY hash HAVING count(*) <= 10000""")
 def posting_lists(spark, sf_dir):
     text = F.concat_ws(" ", F.transform("postings", lambda p: F.concat_ws(":", p["song_id"], p["offset"])))
@@ -182,22 +188,22 @@ def posting_cap(spark, sf_dir):
 
 @query(f"WITH {_VOTES} SELECT * FROM vt")
 def vote_counts(spark, sf_dir):
-    return cons.votes(*_both(spark, sf_dir))
+    return cons.votes(*_probe(spark, sf_dir))
 
 
 @query(f"WITH {_VOTES} SELECT * FROM bd")
 def best_delta(spark, sf_dir):
-    return cons.best_delta(cons.votes(*_both(spark, sf_dir)))
+    return cons.best_delta(cons.votes(*_probe(spark, sf_dir)))
 
 
 @query(f"WITH {_MATCH} SELECT sample_id, rank, song_id, round(score, 6) AS score, votes, delta FROM tk")
 def match_topk(spark, sf_dir):
-    return rounded(cons.match(*_both(spark, sf_dir), TOP), "score")
+    return rounded(cons.match(*_probe(spark, sf_dir), TOP), "score")
 
 
 @query(f"WITH {_MATCH} SELECT sample_id, round(CASE WHEN max(score) FILTER (rank = 2) > 0 THEN max(score) FILTER (rank = 1) / max(score) FILTER (rank = 2) ELSE 0 END, 6) AS margin FROM tk GROUP BY sample_id")
 def match_margin(spark, sf_dir):
-    return rounded(cons.margins(cons.match(*_both(spark, sf_dir), TOP)), "margin")
+    return rounded(cons.margins(cons.match(*_probe(spark, sf_dir), TOP)), "margin")
 
 
 @query(f"""WITH {_HASHES}, e AS (SELECT DISTINCT signal_id, "offset", hash FROM hs), n AS (SELECT signal_id, count(*) AS n FROM hs GROUP BY ALL),

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import resource
+import signal
+import sys
 import threading
 import time
 from datetime import datetime, timezone
@@ -10,12 +13,12 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
-from tessitura.metrics import REQUEST_BOUNDS, number_text
+from tessitura.metrics import REQUEST_BOUNDS, gauge_text, number_text
 from tessitura.operators.fingerprint import n_frames
 from tessitura.sources.library import Library
 from tessitura.sources.wav import WavError, decode
 
-MAX_BODY = 10 << 20
+MAX_BODY, READ_SECONDS, DRAIN_SECONDS = 10 << 20, 30, 10
 
 
 class Service:
@@ -24,12 +27,33 @@ class Service:
         self.library: Library | None = None
         self.loaded_at, self.songs = None, 0
         self.lock = threading.Lock()
+        self.failed: str | None = None
+        self.began = time.time()
         self.requests = {"ok": 0, "error": 0}
         self.buckets, self.sum = [0] * len(REQUEST_BOUNDS), 0.0
 
     def load(self, path: str) -> None:
         self.use(Library.load(self.spark, path))
 
+    def load_later(self, path: str) -> threading.Thread:
+        """Load in the background; until then the service is up but not ready, and stays so if it fails."""
+
+        def run():
+            try:
+                self.load(path)
+            except Exception as e:  # noqa: BLE001  kept for /readyz
+                self.failed = str(e)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
+    def close(self) -> None:
+        library, self.library = self.library, None
+        if library is not None:
+            library.songs.unpersist()
+            library.prints.unpersist()
+
     def use(self, library: Library) -> None:
         library.songs.cache()
         library.prints.cache()
@@ -72,15 +96,34 @@ class Service:
 
     def metrics(self) -> str:
         n = self.requests
-        lines = ["# TYPE match_requests_total counter", *(f'match_requests_total{{status="{k}"}} {n[k]}' for k in sorted(n))]
-        lines += ["# TYPE match_duration_seconds histogram", *(f'match_duration_seconds_bucket{{le="{number_text(b)}"}} {c}' for b, c in zip(REQUEST_BOUNDS, self.buckets, strict=True))]
-        lines += [f'match_duration_seconds_bucket{{le="+Inf"}} {n["ok"]}', f"match_duration_seconds_sum {number_text(self.sum)}", f"match_duration_seconds_count {n['ok']}"]
-        lines += ["# TYPE library_songs gauge", f"library_songs {self.songs}", "# TYPE library_loaded_timestamp_seconds gauge", f"library_loaded_timestamp_seconds {number_text(self.loaded_at.timestamp() if self.loaded_at else 0)}"]
-        return "\n".join(lines) + "\n"
+        text = [_block("match_requests_total", "counter", "Match requests by status.", [f'{{status="{k}"}} {n[k]}' for k in sorted(n)])]
+        buckets = [f'_bucket{{le="{number_text(b)}"}} {c}' for b, c in zip(REQUEST_BOUNDS, self.buckets, strict=True)]
+        buckets += [f'_bucket{{le="+Inf"}} {n["ok"]}', f"_sum {number_text(self.sum)}", f"_count {n['ok']}"]
+        text.append(_block("match_duration_seconds", "histogram", "Time of successful matches.", buckets))
+        text.append(gauge_text("library_songs", "Songs in the library.", self.songs))
+        text.append(gauge_text("library_loaded_timestamp_seconds", "When the library was loaded.", self.loaded_at.timestamp() if self.loaded_at else 0))
+        return "".join(text) + runtime_text(self.began)
+
+
+def _block(name: str, kind: str, help_text: str, lines: list[str]) -> str:
+    return "\n".join([f"# HELP {name} {help_text}", f"# TYPE {name} {kind}", *(name + x for x in lines)]) + "\n"
+
+
+def runtime_text(began: float) -> str:
+    """Gauges of the driver's Python process."""
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    return "".join([
+        gauge_text("process_threads", "Threads of the driver's Python process.", threading.active_count()),
+        gauge_text("process_max_resident_bytes", "Largest resident size so far.", used.ru_maxrss * (1 if sys.platform == "darwin" else 1024)),
+        gauge_text("process_cpu_seconds", "Processor time so far.", used.ru_utime + used.ru_stime),
+        gauge_text("process_uptime_seconds", "Time since the start.", time.time() - began),
+    ])
 
 
 def handler(service: Service):
     class Handler(BaseHTTPRequestHandler):
+        timeout = READ_SECONDS  # of the socket: slow clients are let go
+
         def _send(self, status: int, body, kind: str = "application/json"):
             raw = body.encode() if isinstance(body, str) else json.dumps(body).encode()
             self.send_response(status)
@@ -99,12 +142,18 @@ def handler(service: Service):
                 self._send(500, {"error": str(e)})
 
         def do_GET(self):  # noqa: N802
+            try:
+                self._get()
+            except Exception as e:  # noqa: BLE001  a request must not end the server
+                self._send(500, {"error": str(e)})
+
+        def _get(self):
             if self.path == "/v1/stats":
                 self._send(*service.stats())
             elif self.path == "/healthz":
                 self._send(200, {"status": "ok"})
             elif self.path == "/readyz":
-                self._send(200 if service.library else 503, {"ready": service.library is not None})
+                self._send(200 if service.library else 503, {"ready": service.library is not None} | ({"error": service.failed} if service.failed else {}))
             elif self.path == "/metrics":
                 self._send(200, service.metrics(), "text/plain; version=0.0.4")
             else:
@@ -116,5 +165,44 @@ def handler(service: Service):
     return Handler
 
 
-def server(service: Service, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
-    return ThreadingHTTPServer((host, port), handler(service))
+class _Server(ThreadingHTTPServer):
+    """Counts the requests under way, so that it can end when they have."""
+
+    daemon_threads, block_on_close = True, False
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.busy, self.idle = 0, threading.Condition()
+
+    def process_request_thread(self, request, address):
+        with self.idle:
+            self.busy += 1
+        try:
+            super().process_request_thread(request, address)
+        finally:
+            with self.idle:
+                self.busy -= 1
+                self.idle.notify_all()
+
+    def drain(self, seconds: float = DRAIN_SECONDS) -> bool:
+        """Take no more requests and wait for those under way; whether all have ended."""
+        self.shutdown()
+        self.server_close()
+        with self.idle:
+            return self.idle.wait_for(lambda: self.busy == 0, seconds)
+
+
+def server(service: Service, host: str = "127.0.0.1", port: int = 8080) -> _Server:
+    return _Server((host, port), handler(service))
+
+
+def run(service: Service, path: str, host: str = "0.0.0.0", port: int = 8080) -> None:
+    """Serve until the process is told to end, then drain; the library is loaded in the background."""
+    web = server(service, host, port)
+    service.load_later(path)
+    for s in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(s, lambda *_: threading.Thread(target=web.drain, daemon=True).start())
+    web.serve_forever()
+    with web.idle:
+        web.idle.wait_for(lambda: web.busy == 0, DRAIN_SECONDS)
+    service.close()

@@ -10,6 +10,7 @@ from pyspark.sql.functions import udtf
 
 from tessitura.operators.fingerprint import find_peaks, spectra
 from tessitura.params import FAN_OUT, MAX_BIN_GAP, MAX_GAP, MIN_GAP, Params
+from tessitura.sources.files import get_file, listed
 from tessitura.sources.wav import decode
 
 
@@ -25,19 +26,15 @@ class WavReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self):
-        import os
-
-        return [File(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder)) if f.endswith(".wav")]
+        return [File(f) for f in listed(self.folder, ".wav")]
 
     def read(self, partition) -> Iterator[tuple]:
-        import os
-
-        with open(partition.path, "rb") as f:
-            try:
-                rate, samples = decode(f.read())
-                yield os.path.basename(partition.path), rate, samples.tolist(), None
-            except ValueError as e:
-                yield os.path.basename(partition.path), None, None, str(e)
+        name = partition.path.rsplit("/", 1)[-1]
+        try:
+            rate, samples = decode(get_file(partition.path))
+            yield name, rate, samples.tolist(), None
+        except ValueError as e:
+            yield name, None, None, str(e)
 
 
 class WavSource(DataSource):

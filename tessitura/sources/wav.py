@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.sources.files import put_file
+
 DECODED = T.StructType().add("sample_rate", T.IntegerType()).add("samples", T.ArrayType(T.DoubleType())).add("error", T.StringType())
 
 
@@ -107,14 +109,10 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_directory(df: DataFrame, path: str, sample_rate: int) -> None:
-    """One file for each row (name, samples), written by the tasks below a folder that they share."""
-    import os
-
-    os.makedirs(path, exist_ok=True)
+    """One file for each row (name, samples), written by the tasks below a folder (a path or URI that they share)."""
 
     def put(rows):
         for r in rows:
-            with open(os.path.join(path, r.name), "wb") as f:
-                f.write(encode(r.samples, sample_rate))
+            put_file(f"{path}/{r.name}", encode(r.samples, sample_rate))
 
     df.select("name", "samples").foreachPartition(put)

@@ -14,10 +14,10 @@ def tone(freq, seconds):
 
 
 def rich(fundamental, seconds):
+    """Seven harmonics of falling strength whose pitch drifts up by a hundredth."""
     t = times(seconds)
-    wobble = 1 + 0.002 * np.sin(2 * np.pi * 5 * t)
-    x = sum(a * np.sin(2 * np.pi * fundamental * m * t * wobble) for m, a in enumerate((0.5, 0.25, 0.12, 0.06, 0.03), 1))
-    return x
+    drift = t * (1 + 0.005 * t / max(seconds, 1e-9))
+    return sum(0.6 * 0.55**m * np.sin(2 * np.pi * fundamental * (m + 1) * drift + m) for m in range(7))
 
 
 def tune(seed, seconds):

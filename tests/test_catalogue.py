@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from tessitura.plans import catalogue
+from tessitura.plans import catalogue, production  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("events", "embeddings")
+TABLES = ("events", "embeddings", "pages")
 
 
 @pytest.fixture(scope="module")

@@ -16,10 +16,12 @@ def grid(shape, cells):
 
 
 @pytest.mark.parametrize("x, radii, floor, want", [
-    (grid((10, 10), {(5, 5): 1}), (2, 2), 0.1, [(5, 5)]), (grid((5, 5), {(2, 2): 0.05}), (1, 1), 0.1, []),
-    (grid((20, 20), {(3, 5): 1, (15, 15): 0.8}), (2, 2), 0.1, [(3, 5), (15, 15)]), (grid((10, 10), {(5, 5): 1, (5, 6): 0.9}), (2, 2), 0.1, [(5, 5)]),
-    (grid((10, 10), {(5, 5): 1, (5, 6): 1}), (2, 2), 0.1, []), (grid((5, 5), {(0, 0): 1}), (2, 2), 0.1, [(0, 0)]),
-    (grid((20, 50), {(i, 10): 1 for i in range(20)}), (2, 2), 0.1, []),
+    (grid((7, 9), {(0, 8): 3, (6, 0): 2}), (1, 3), 0.5, [(0, 8), (6, 0)]),  # corners
+    (grid((7, 9), {(3, 4): 0.25}), (1, 1), 0.25, []),  # at the floor is not above it
+    (grid((12, 9), {(2, 4): 5, (5, 4): 5, (9, 4): 6}), (3, 1), 0, [(9, 4)]),  # equals within reach put each other out
+    (grid((12, 9), {(2, 4): 5, (6, 4): 5}), (3, 1), 0, [(2, 4), (6, 4)]),  # just out of reach
+    (grid((6, 30), {(2, 10): 4, (2, 13): 3, (2, 17): 2}), (2, 3), 0, [(2, 10), (2, 17)]),  # a slope in one frame
+    (np.full((5, 6), 0.7), (1, 1), 0, []),  # a plain
 ])
 def test_peak_grids(spark, x, radii, floor, want):
     assert [tuple(p) for p in find_peaks(x, *radii, floor).tolist()] == want
