@@ -65,6 +65,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_for(df: DataFrame, part_bytes: int) -> int:
+    """Partitions of about ``part_bytes`` of input by the planner's estimate, and no fewer than the session has."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-estimate // part_bytes)) if estimate < 2**62 else least  # rows that come from no file have no estimate
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with as many underscores before it as it takes to clash with no column."""
     taken = {c.lower() for c in df.columns}

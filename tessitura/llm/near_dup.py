@@ -36,6 +36,8 @@ from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signature
 
 WORDS, PER_CENT = 5, 75
 ROWS, BANDS, SKETCH_BITS, SKETCH_FLOOR = 4, 40, 512, 0.4
+#: ids that a broadcast bitmap may point out
+MOST_FLAGGED = 2**23
 _FACTORS = mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -104,18 +106,23 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """id and set (sorted distinct hashes as a binary) for the documents of ``ids``."""
-    flags = bitmap(ids, "id")
+    rows = docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL")
+    count = ids.count()
+    flags = bitmap(ids, "id", max(20, int(16 * count).bit_length())) if count <= MOST_FLAGGED else None  # 16 bits an id, at most 16 MB
+    if flags is None:  # texts meet their ids first
+        rows = rows.join(ids, "id", "left_semi")
 
     def run(batches):
         for b in batches:
-            b = b.filter(pa.array(flagged(flags, b.column(0).to_numpy())))
+            if flags is not None:
+                b = b.filter(pa.array(flagged(flags, b.column(0).to_numpy())))
             for i, j in _slices(b.column(1)):
                 hashes, starts = shingles(b.column(1).slice(i, j - i))
                 spans = [slice(s, e) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 prints = np.array([mix(hashes[x] + np.uint64(1)).sum(dtype=np.uint64) for x in spans], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([hashes[x].tobytes() for x in spans], pa.binary()), pa.array(prints)], ["id", "set", "print"])
 
-    every = docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "id long, set binary, print long")
+    every = rows.mapInArrow(run, "id long, set binary, print long")
     return every.join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("set", F.struct(F.octet_length("set"), "print")).alias("set"))
 
 

@@ -39,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import mix, quoted, written
+from tessitura.llm.common import discard, mix, parts_for, quoted, written
 from tessitura.llm.linking import bitmap, flagged
 
 WINDOW, ANCHOR, CELLS, BLOCK = 400, 80, 3, 2_000_000
+#: input of one part, and runs that a broadcast bitmap may point out for the last pass; beyond, they are joined
+PART_BYTES, MOST_SPOTS = 16_000_000, 2**23
 _G = 8  # bytes in one symbol
 _POS_BITS = 23
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -199,7 +201,7 @@ def _gathered(batches, dtypes: list[str], least: int = 1_000_000) -> Iterator[li
 def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """_doc (hash of id and text) and starts, ends array<int>: maximal runs of bytes to remove."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs, PART_BYTES)
 
     def runs(batches):
         for b in batches:
@@ -233,16 +235,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, an
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_spot(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], ["spot"])
 
-    left = written(first.where("pass = 2").select("doc", "low").mapInArrow(spots, "spot long"), "spots")
+    left = first.where("pass = 2").select("doc", "low")
     count = left.count()
-    bits = min(27, max(20, int(16 * count).bit_length()))
-    flags = spark.sparkContext.broadcast(bitmap(left, "spot", bits))  # at most 16 MB; where it fills up, more windows than needed are sorted
+    few = count <= MOST_SPOTS
+    flags = None
+    if few:
+        table = written(left.mapInArrow(spots, "spot long"), "spots")
+        flags = spark.sparkContext.broadcast(bitmap(table, "spot", max(20, int(16 * count).bit_length())))  # 16 bits a run, at most 16 MB
+        discard(table)
 
     def windows(batches):
         for b in batches:
+            lows = [None] * b.num_rows if few else b.column(2).to_pylist()
+            wanted = {d: np.array(x, np.int64) for d, x in zip(b.column(0).to_pylist(), lows, strict=True) if x is not None}
             for pieces in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), window):
                 x = Block(pieces, window, anchor)
-                use = np.flatnonzero(flagged(flags.value, _spot(x.doc, x.low + x.shift).view(np.int64)))
+                place = x.low + x.shift
+                if few:
+                    use = np.flatnonzero(flagged(flags.value, _spot(x.doc, place).view(np.int64)))
+                else:
+                    use = np.concatenate([np.flatnonzero((x.doc == d) & np.isin(place, wanted[d])) for d in dict.fromkeys(p[0] for p in pieces)])
                 if not len(use):
                     continue
                 n = x.high[use] - x.low[use] + 1
@@ -280,6 +292,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, an
         yield pa.RecordBatch.from_arrays([pa.array(owner[j]), pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))], ["_doc", "starts", "ends"])
 
     blobs = "part int, d binary, p binary, n binary"
+    if not few:  # only documents that have such runs, with the runs' places
+        source = source.join(left.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("low").alias("_lows")), "_doc").select("_doc", "_text", "_lows")
     last = source.mapInArrow(windows, "part int, h binary, d binary, p binary").repartition(parts, "part").mapInArrow(by_window, blobs)
     every = last.unionByName(done.mapInArrow(packed, blobs))
     return every.repartition(parts, "part").mapInArrow(spans, "_doc long, starts array<int>, ends array<int>")

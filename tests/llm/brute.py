@@ -85,31 +85,36 @@ def best_run(equal):
     return (sum(equal[-best[2] : best[1]]), -best[2], best[1])
 
 
-def overlaps(text, item):
-    """Whether the document holds the item, by all diagonals that a mask hits."""
-    d, w = plain_words(text), plain_words(item)
-    if len(w) < 5:
-        return False
-    masks = (MASKS if len(w) >= 8 else ()) + (tuple("1" * i + "0" + "1" * (len(w) - i - 1) for i in range(len(w))) if len(w) <= 8 else ())
-    hits = set()
-    for mask in masks:
-        at = [i for i, c in enumerate(mask) if c == "1"]
-        table = {}
-        for p in range(len(w) - len(mask) + 1):
-            table.setdefault(tuple(w[p + i] for i in at), []).append(p)
-        for q in range(len(d) - len(mask) + 1):
-            hits.update(q - p for p in table.get(tuple(d[q + i] for i in at), ()))
-    runs = []
-    for g in hits:
-        a, b = max(0, g), min(len(d), g + len(w))
-        n, s, e = best_run([d[i] == w[i - g] for i in range(a, b)])
-        if e > s:
-            runs.append((g, a + s, a + e, n))
-    if not runs:
-        return False
-    best = max(runs, key=lambda r: (r[3], -r[1]))
-    chosen = []
-    for r in sorted(runs, key=lambda r: -r[3]):
-        if abs(r[0] - best[0]) <= 4 and abs(r[1] - best[1]) <= 2 * len(w) and all(r[2] <= c[1] or r[1] >= c[2] for c in chosen):
-            chosen.append(r)
-    return sum(r[3] for r in chosen) >= min(10, -(-4 * len(w) // 5))
+def contaminations(texts, items):
+    """(document, item) of every document that holds an item, by all diagonals that a mask hits; both: {id: text}."""
+    words_of = {i: plain_words(t) for i, t in items.items()}
+    tables = {}
+    for i, w in words_of.items():
+        masks = (MASKS if len(w) >= 8 else ()) + (tuple("1" * k + "0" + "1" * (len(w) - k - 1) for k in range(len(w))) if len(w) <= 8 else ())
+        for mask in masks if len(w) >= 5 else ():
+            at = [k for k, c in enumerate(mask) if c == "1"]
+            for p in range(len(w) - len(mask) + 1):
+                tables.setdefault(mask, {}).setdefault(tuple(w[p + k] for k in at), []).append((i, p))
+    out = set()
+    for name, text in texts.items():
+        d, hits = plain_words(text), {}
+        for mask, table in tables.items():
+            at = [k for k, c in enumerate(mask) if c == "1"]
+            for q in range(len(d) - len(mask) + 1):
+                for i, p in table.get(tuple(d[q + k] for k in at), ()):
+                    hits.setdefault(i, set()).add(q - p)
+        for i, diagonals in hits.items():
+            w, runs = words_of[i], []
+            for g in diagonals:
+                a, b = max(0, g), min(len(d), g + len(w))
+                n, s, e = best_run([d[k] == w[k - g] for k in range(a, b)])
+                if e > s:
+                    runs.append((g, a + s, a + e, n))
+            best = max(runs, key=lambda r: (r[3], -r[1]), default=None)
+            chosen = []
+            for r in sorted(runs, key=lambda r: -r[3]):
+                if abs(r[0] - best[0]) <= 4 and abs(r[1] - best[1]) <= 2 * len(w) and all(r[2] <= c[1] or r[1] >= c[2] for c in chosen):
+                    chosen.append(r)
+            if chosen and sum(r[3] for r in chosen) >= min(10, -(-4 * len(w) // 5)):
+                out.add((name, i))
+    return out

@@ -42,6 +42,7 @@ def small_limits(monkeypatch, outer=4):
 
 def test_large_and_hot_buckets(spark, monkeypatch):
     small_limits(monkeypatch)
+    monkeypatch.setattr(near_dup, "MOST_FLAGGED", -1)
     texts = [*family(7, 60, 60, 10), *family(8, 40, 200, 50)]
     texts += texts[:12] + [texts[0]] * 12
     random.Random(6).shuffle(texts)

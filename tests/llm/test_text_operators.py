@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import lines_left, overlaps, words
+from brute import contaminations, lines_left, words
 
 from tessitura.llm import decontaminate, line_dedup, minhash, pitman_yor, quality_classifier, seating, substring_dedup
 
@@ -86,12 +86,12 @@ def test_lines_with_keys_of_text_and_clashing_names(spark):
 # repeated strings ----------------------------------------------------------------
 def strings_brute(texts, window):
     raws = [(t or "").encode() for t in texts]
-    seen = collections.Counter(b[p : p + window] for b in raws for p in range(len(b) - window + 1))
+    seen = collections.Counter(hash(b[p : p + window]) for b in raws for p in range(len(b) - window + 1))
     out = {}
     for i, b in enumerate(raws):
         gone = np.zeros(len(b) + 1, bool)
         for p in range(len(b) - window + 1):
-            if seen[b[p : p + window]] > 1:
+            if seen[hash(b[p : p + window])] > 1:
                 gone[p : p + window] = True
         left = bytes(c for c, g in zip(b, gone, strict=False) if not g)
         out[i] = (len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest())
@@ -116,6 +116,16 @@ def test_repeated_strings_across_pieces(spark, monkeypatch):
     check_strings(spark, [x, prose(6, 20) + x[700:1500] + prose(7, 20), prose(8, 400), "z" * 1000])
 
 
+def test_repeated_strings_at_the_window_of_production_and_by_the_join(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    want = strings_brute([r.text for r in rows], 400)
+    want = {r.doc_id: want[i] for i, r in enumerate(rows)}
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.query(docs).collect()} == want
+    monkeypatch.setattr(substring_dedup, "MOST_SPOTS", -1)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.query(docs).collect()} == want
+
+
 def test_repeated_strings_empty(spark):
     assert substring_dedup.query(table(spark, [])).collect() == []
 
@@ -146,8 +156,7 @@ def test_passages_with_changed_added_and_lost_words_are_found_and_nothing_else(s
 
 def test_contamination_equals_brute_force_on_a_whole_table(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    want = {(r.doc_id, i) for r in docs.collect() for i, t in items if overlaps(r.text, t)}
+    want = contaminations({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in bench.collect()})
     assert want and {(r.doc_id, r.item_id) for r in decontaminate.query(docs, bench).collect()} == want
 
 
