@@ -22,7 +22,7 @@ def test_rows_equal_those_of_plain_stages(spark, tmp_path):
     # more of what the later stages catch: near copies, common lines with a change, passages
     items = [r.text for r in bench.orderBy("item_id").collect()]
     for k, r in enumerate(base[:30]):
-        words = (r.text or "").split(" ")
+        words = (r.text or "").split()  # on one line, so that the line stage leaves it
         if len(words) > 60:
             words[30] = "changed"
             rows.append((n + 3 * k, " ".join(words), r.lang, r.source, r.n_chars))
