@@ -139,3 +139,100 @@ def test_cli_analysis_of_a_chirp(tmp_path, capsys):
 
     main(["analyze", "--out", str(tmp_path)])
     assert "frames: 127" in capsys.readouterr().out and (tmp_path / "spectrogram.png").read_bytes().startswith(b"\x89PNG")
+
+
+# additions to a library, algorithms, parts of the format, life of the server -----------------
+def one_song(spark, name, seed):
+    return Library.build(spark.createDataFrame([(name, tune(seed, 1).tolist(), None)], "name string, samples array<double>, error string"), Params())
+
+
+def test_songs_appended_to_one_song_get_ids_of_their_own(spark):
+    both = one_song(spark, "a", 1).append(one_song(spark, "b", 2))
+    assert sorted((r.song_id, r.name) for r in both.songs.collect()) == [(0, "a"), (1, "b")]
+    clip = spark.createDataFrame([(0, tune(2, 1).tolist())], "sample_id long, samples array<double>")
+    assert both.match(clip, 1).first().name == "b"
+
+
+def test_equal_names_and_equal_recordings_are_songs_of_their_own(spark):
+    rows = [("x", tune(1, 1).tolist(), None), ("x", tune(2, 1).tolist(), None), ("x", tune(2, 1).tolist(), None)]
+    built = Library.build(spark.createDataFrame(rows, "name string, samples array<double>, error string"), Params())
+    assert sorted(r.song_id for r in built.songs.collect()) == [0, 1, 2]
+    n = {r.song_id: r["count"] for r in built.prints.groupBy("song_id").count().collect()}
+    assert len(n) == 3 and len(set(n.values())) == 2
+
+
+def test_an_algorithm_can_be_registered(spark):
+    from tessitura import algorithms, params
+
+    class Level:
+        """One print a recording: its length; alike if equal."""
+
+        name, key = "level", "hash"
+
+        def fingerprint(self, signals, p, sample_rate):
+            return signals.selectExpr("song_id", "CAST(size(samples) AS BIGINT) AS hash", "0L AS offset")
+
+        def match(self, samples, prints, k):
+            both = samples.join(prints.select("song_id", "hash"), "hash")
+            return both.selectExpr("sample_id", "1 AS rank", "song_id", "1D AS score", "1L AS votes", "0L AS offset")
+
+        def similarity(self, samples, prints, songs):
+            return self.match(samples, prints, 1).selectExpr("sample_id", "song_id", "score AS similarity")
+
+    algorithms.register(Level())
+    try:
+        with pytest.raises(ValueError):
+            algorithms.register(Level())
+        rows = [(n, tune(1, s).tolist(), None) for n, s in (("a", 1), ("b", 2))]
+        built = Library.build(spark.createDataFrame(rows, "name string, samples array<double>, error string"), Params(algo="level"))
+        clip = spark.createDataFrame([(0, tune(9, 2).tolist())], "sample_id long, samples array<double>")
+        assert [r.name for r in built.match(clip).collect()] == ["b"]
+    finally:
+        del algorithms._KNOWN["level"]
+        params.ALGORITHMS.remove("level")
+    with pytest.raises(ValueError):
+        algorithms.algorithm("level")
+
+
+@pytest.mark.parametrize("algo", ["constellation", "subband"])
+def test_parts_of_the_format_equal_one_file(spark, tmp_path, algo):
+    rows = [(f"s{i}", tune(i, 1).tolist(), None) for i in range(3)]
+    built = Library.build(spark.createDataFrame(rows, "name string, samples array<double>, error string"), Params(algo=algo))
+    built.write_packed(str(tmp_path / "parts"))
+    (tmp_path / "one.bin").write_bytes(b"".join(built.export()))
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert whole == (tmp_path / "one.bin").read_bytes()
+    rows = lambda x: sorted(map(tuple, x.songs.join(x.prints, "song_id").select("song_id", "name", *sorted(c for c in x.prints.columns if c != "song_id")).collect()))
+    assert rows(import_library(spark, str(tmp_path / "parts"))) == rows(import_library(spark, str(tmp_path / "one.bin"))) == rows(built)
+
+
+def test_server_is_up_before_its_library_and_drains(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tessitura.serve import Service, server
+
+    one_song(spark, "a", 1).save(str(tmp_path / "lib"))
+    service = Service(spark)
+    web = server(service, port=0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{web.server_address[1]}"
+
+    def get(path):
+        try:
+            with urllib.request.urlopen(url + path, timeout=20) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    assert get("/healthz")[0] == 200 and get("/readyz")[0] == 503
+    service.load_later(str(tmp_path / "missing")).join(60)
+    status, body = get("/readyz")
+    assert status == 503 and json.loads(body)["error"]
+    service.load_later(str(tmp_path / "lib")).join(60)
+    assert get("/readyz")[0] == 200 and "# HELP process_uptime_seconds" in get("/metrics")[1]
+    assert web.drain(10)
+    service.close()
+    assert service.library is None
