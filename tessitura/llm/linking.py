@@ -99,9 +99,14 @@ def components(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
 
 
 # hot keys ------------------------------------------------------------------
-def frequent(rows: DataFrame, column: str = "key", by: str = "id") -> list[int]:
-    """The most frequent values of ``column``, at most ``HOT``, by the rows of one ``by`` in ``ONE_IN``."""
-    n = rows.where(f"pmod(xxhash64({by}), {ONE_IN}) = 0").groupBy(column).count()
+def sampled(rows: DataFrame, by: str = "id") -> DataFrame:
+    """The rows of one ``by`` in ``ONE_IN``."""
+    return rows.where(f"pmod(xxhash64({by}), {ONE_IN}) = 0")
+
+
+def frequent(sample: DataFrame, column: str = "key") -> list[int]:
+    """The most frequent values of ``column``, at most ``HOT``; ``sample``: the rows of one id in ``ONE_IN``."""
+    n = sample.groupBy(column).count()
     return [r[0] for r in n.where(f"count * {ONE_IN} >= {HOT_ROWS}").orderBy(F.desc("count"), column).limit(HOT).collect()]
 
 
@@ -113,21 +118,65 @@ def joined(rows: DataFrame, few: DataFrame, on: list[str], hot: list[int], colum
     return rows.where(~there).join(few.where(~there), on).unionByName(rows.where(there).join(F.broadcast(few.where(there)), on))
 
 
-def crowded(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """key, id, pivot (the smallest id) of the buckets that hold more than one id; rows (key, id) may be repeated."""
+def company(hot: list[int]) -> Callable:
+    """key, id, pivot (the smallest id) of the keys that have more than one id, and of all hot ones; rows (key, id) come by key."""
+    always = np.array(hot, np.int64)
 
-    def some(rows, split):
-        buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
-        return rows.join(F.broadcast(buckets) if split else buckets, "key")
+    def some(k, i):
+        near = k[1:] == k[:-1]
+        use = (np.append(False, near) | np.append(near, False))[: len(k)] | np.isin(k, always)
+        k, i = k[use], i[use]
+        order = np.lexsort((i, k))
+        k, i = k[order], i[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))[: len(k)]
+        k, i = k[new], i[new]
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        sizes = np.diff(np.append(starts, len(k)))
+        many = np.repeat(sizes > 1, sizes) | np.isin(k, always)
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (k, i, np.repeat(i[starts], sizes))], ["key", "id", "pivot"])
 
+    def run(batches):
+        last, held, size = 0, [], 0  # the last key, its ids so far; repeated ones go when there are many
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if held and cut == 0 and k[0] == last:
+                held.append(i.copy())
+                size += len(i)
+                if size > 2**20:
+                    held, size = [np.unique(np.concatenate(held))], 0
+                continue
+            before = np.concatenate(held) if held else i[:0]
+            yield some(np.concatenate((np.full(len(before), last, np.int64), k[:cut])), np.concatenate((before, i[:cut])))
+            last, held, size = k[-1], [i[cut:].copy()], len(i) - cut
+        if held:
+            ids = np.concatenate(held)
+            yield some(np.full(len(ids), last, np.int64), ids)
+
+    return run
+
+
+def crowded(rows: DataFrame, hot: list[int], kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """key, id, pivot (the smallest id) of the buckets that hold more than one id; rows (key, id) may be repeated.
+
+    Most keys have one id and end here: after one exchange a task sorts its rows by key (Spark's
+    sort, which can spill) and streams them, holding the ids of one key at a time.  Hot keys are
+    dealt to ``SALTS`` places, and their pivots are put together after that.  ``rows`` is read once.
+    """
+    salt = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    dealt = rows.select("key", "id", salt.cast("int").alias("salt")).repartition("key", "salt") if hot else rows.select("key", "id").repartition("key")
+    out = kept(dealt.select("key", "id").sortWithinPartitions("key").mapInArrow(company(hot), "key long, id long, pivot long"), "buckets")
     if not hot:
-        return some(rows.repartition("key"), False).distinct()  # one exchange serves the counts, the join and the distinct rows
+        return out
     there = F.col("key").isin(hot)
-    return some(rows.where(~there).repartition("key"), False).distinct().unionByName(some(rows.where(there).distinct(), True))
+    heads = out.where(there).groupBy("key").agg(F.min("pivot").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
+    return out.where(~there).unionByName(out.where(there).drop("pivot").join(F.broadcast(heads), "key"))  # at most HOT rows
 
 
 # search --------------------------------------------------------------------
-def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Callable[[memoryview], tuple[np.ndarray, int]], screen: Callable[[DataFrame], DataFrame] | None = None, scratch: list[DataFrame] | None = None) -> DataFrame:
+def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Callable[[memoryview], tuple[np.ndarray, int]], screen: Callable[[DataFrame], DataFrame] | None = None, scratch: list[DataFrame] | None = None, sample: DataFrame | None = None) -> DataFrame:
     """id and component of all ids that are linked to another.
 
     ``rows``: (key, id), any number of times.  ``fetch`` takes ids (id) and returns their
@@ -135,11 +184,12 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Calla
     the per cent of the union that they must share with another set).
     ``screen`` may drop pairs (a, b) that can't be linked before their sets are compared.
     Tables that the result still reads are added to ``scratch``, for the caller to discard.
+    ``sample``: the rows of one id in ``ONE_IN``, where they come cheaper than by a filter on ``rows``.
     """
     search = _Search(screen, unpack)
     try:
-        hot = frequent(rows)
-        crowd = search.kept(crowded(rows, hot), "buckets")
+        hot = frequent(sampled(rows) if sample is None else sample)
+        crowd = crowded(rows, hot, search.kept)
         search.sets = search.kept(fetch(crowd.select("id").distinct()), "sets")
         search.stars(crowd)
         large = search.settle(crowd, hot, OUTER)
@@ -148,8 +198,8 @@ def link(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], unpack: Calla
             apart = search.kept(_mixed(large, search.found, hot).select("id", "component").distinct(), "apart")
             if not apart.isEmpty():
                 rare = search.kept(_rare(apart, search.sets, unpack), "rare")
-                hot = frequent(rare)
-                search.settle(search.kept(crowded(rare, hot), "buckets"), hot, None)
+                hot = frequent(sampled(rare))
+                search.settle(crowded(rare, hot, search.kept), hot, None)
         if scratch is not None:
             scratch.extend(search.last)
         return search.found
@@ -273,7 +323,7 @@ def _rare(apart: DataFrame, sets: DataFrame, unpack: Callable[[memoryview], tupl
     rows = written(some.select("id", "component", "set").mapInArrow(prefixes, "key long, id long, component long"), "prefixes")
     lists = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
     lists = lists.where("c != d").groupBy("n", "ids").agg(F.min("key").alias("key")).select("key")  # of equal lists one is enough
-    out = joined(rows.select("key", "id"), lists, ["key"], frequent(rows))
+    out = joined(rows.select("key", "id"), lists, ["key"], frequent(sampled(rows)))
     out = written(out, "rare")
     discard(rows)
     return out
