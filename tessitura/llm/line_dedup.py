@@ -16,9 +16,10 @@ repeats itself).  Lines of fewer than five code points are linked with equal lin
 only.  Of each component the first line, by the smallest (document, line number), stays,
 the others go.
 
-Bands of four samples: a pair at the threshold is missed with probability
-(1 - 0.8 ** 4) ** 20 = 2.7e-5 (long) or (1 - 0.65 ** 4) ** 40 = 3.8e-4 (short); at 0.9
-and 0.75 with 2e-10 and 2.5e-7.  Candidates are confirmed on the full sets.  All further
+Bands of four samples (long) and five (short: lines that share little more than their
+language are many): a pair at the threshold is missed with probability
+(1 - 0.8 ** 4) ** 20 = 2.7e-5 (long) or (1 - 0.65 ** 5) ** 64 = 3.7e-4 (short); at 0.9
+and 0.75 with 2e-10 and 3.0e-8.  Candidates are confirmed on the full sets.  All further
 work is on 64-bit line hashes; texts are read twice more, to confirm and to rewrite.
 
 Defined results: blank lines stay; a document whose lines all go keeps an empty text; a
@@ -41,13 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import discard, hash_strings, mix, number_of, quoted, written
-from tessitura.llm.linking import HOT, HOT_ROWS, bitmap, components, flagged, joined, link
+from tessitura.llm.linking import HOT, HOT_ROWS, ONE_IN, bitmap, components, flagged, joined, link
 from tessitura.llm.minhash import bands, signatures
 
 SHORT_TO, LONG_FROM = 130, 104
-#: rule: code points in a shingle, per cent, bands of ROWS samples
-RULES = {"short": (5, 65, 40), "long": (8, 80, 20)}
-ROWS = 4
+#: rule: code points in a shingle, per cent, bands, samples in a band
+RULES = {"short": (5, 65, 64, 5), "long": (8, 80, 20, 4)}
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _FACTORS = mix(np.arange(301, 305, dtype=np.uint64)) | np.uint64(1)
 _OTHER = np.uint64(0x9E6C63D0876A9A47)
@@ -121,42 +121,56 @@ def _of_batch(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
         yield i, j, Lines(texts.slice(i, j - i))
 
 
-def banded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each line and class of a batch: line (hash), node, id and number of its first place in the batch, n (times there), keys array<long>."""
+def placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each line and class of a batch: line (hash), node, id and number of its first place in the batch, n (times there)."""
 
-    def rows(x: Lines, ids: np.ndarray, use: np.ndarray, rule: str | None) -> pa.RecordBatch:
+    def rows(x: Lines, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         # the first place: lines are in the order of the batch, ids may not be
         order = np.lexsort((x.number, ids[x.doc], x.which))
-        first = order[np.append(True, x.which[order][1:] != x.which[order][:-1])][use]
-        if rule:
-            width, _, n_bands = RULES[rule]
-            hashes, starts = shingles(x.of(use), width)
-            keys = bands(signatures(hashes, starts[:-1], ROWS * n_bands, seed=11), ROWS).astype(np.int64)
-            keys = pa.ListArray.from_arrays((np.arange(len(use) + 1) * n_bands).astype(np.int32), pa.array(keys.ravel()))
-            name = node(x.hash[use], x.size[use], rule)
-        else:
-            keys, name = pa.nulls(len(use), pa.list_(pa.int64())), x.hash[use]
-        counts = np.bincount(x.which, minlength=len(x.lines))[use].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x.hash[use]), pa.array(name), pa.array(ids[x.doc[first]]), pa.array(x.number[first].astype(np.int32)), pa.array(counts), keys], ["line", "node", "id", "number", "n", "keys"])
+        first = order[np.append(True, x.which[order][1:] != x.which[order][:-1])]
+        counts = np.bincount(x.which, minlength=len(x.lines)).astype(np.int64)
+        long = in_rule("long", x.size)
+        for rule, some in (("long", long), ("short", ~long | in_rule("short", x.size))):  # lines without a shingle are in neither, and counted with the short ones
+            use = np.flatnonzero(~x.blank & some)
+            at = first[use]
+            yield pa.RecordBatch.from_arrays([pa.array(x.hash[use]), pa.array(node(x.hash[use], x.size[use], rule)), pa.array(ids[x.doc[at]]), pa.array(x.number[at].astype(np.int32)), pa.array(counts[use])], ["line", "node", "id", "number", "n"])
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for i, j, x in _of_batch(b.column(1)):
-                for rule in RULES:
+                if len(x.lines):
+                    yield from rows(x, ids[i:j])
+
+    return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, node long, id long, number int, n long")
+
+
+def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int = 1) -> DataFrame:
+    """key and id (node) for each band of each line and class of a batch, or of one node in ``one_in`` by a hash.
+
+    The keys are many times as large as what they are made of, so they go into an exchange and no table.
+    """
+
+    def run(batches):
+        for b in batches:
+            for _, _, x in _of_batch(b.column(0)):
+                for rule, (width, _, n_bands, samples) in RULES.items():
                     use = np.flatnonzero(~x.blank & in_rule(rule, x.size))
+                    name = node(x.hash[use], x.size[use], rule)
+                    if one_in > 1:
+                        some = mix(name.view(np.uint64)) % np.uint64(one_in) == 0
+                        use, name = use[some], name[some]
                     if len(use):
-                        yield rows(x, ids[i:j], use, rule)
-                tiny = np.flatnonzero(~x.blank & (x.size < RULES["short"][0]))
-                if len(tiny):
-                    yield rows(x, ids[i:j], tiny, None)
+                        hashes, starts = shingles(x.of(use), width)
+                        keys = bands(signatures(hashes, starts[:-1], samples * n_bands, seed=11), samples)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(name, n_bands))], ["key", "id"])
 
-    return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, node long, id long, number int, n long, keys array<long>")
+    return docs.where(number_of(docs, key).isNotNull()).select(quoted(text)).mapInArrow(run, "key long, id long")
 
 
 def shingle_set(raw: memoryview) -> tuple[np.ndarray, int]:
     """Sorted distinct shingles of a line, and the per cent to share; the first byte names the rule."""
-    width, per_cent, _ = list(RULES.values())[raw[0]]
+    width, per_cent, *_ = list(RULES.values())[raw[0]]
     x = windows(np.frombuffer(bytes(raw[1:]).decode().encode("utf-32-le"), np.uint32), width)
     x.sort()
     return x[np.append(True, x[1:] != x[:-1])], per_cent
@@ -189,9 +203,9 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Lines that occur once and are like no other have no row.
     """
-    rows = written(banded(docs, key, text), "lines")
+    rows = written(placed(docs, key, text), "lines")
     scratch = [rows]
-    found = link(rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("node").alias("id")), lambda ids: lines_of(docs, ids, text), shingle_set, scratch=scratch)
+    found = link(banded(docs, key, text), lambda ids: lines_of(docs, ids, text), shingle_set, scratch=scratch, sample=banded(docs, key, text, ONE_IN))
     # the two nodes of a line in both classes are one
     pairs = rows.where("node != line").select("line", F.col("node").alias("id")).join(found, "id", "left_semi").distinct()
     scratch.append(written(pairs, "bridges"))

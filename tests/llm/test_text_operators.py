@@ -49,9 +49,9 @@ def test_lines_keep_columns_nulls_and_empty_tables(spark):
 def test_pairs_of_lines_at_the_threshold_share_a_bucket(rule, size, common, most):
     # 5,000 pairs of sets at the threshold (0.8 and 0.65): 0.1 and 2 are missed on average
     whole = 2 * size - common
-    k = line_dedup.ROWS * line_dedup.RULES[rule][2]
+    _, _, n_bands, rows = line_dedup.RULES[rule]
     h = np.random.default_rng(4).integers(0, 2**64, (5000, whole), dtype=np.uint64)
-    one, two = (minhash.bands(minhash.signatures(h[:, s].ravel(), np.arange(5000) * size, k, seed=11), line_dedup.ROWS) for s in (slice(0, size), slice(whole - size, whole)))
+    one, two = (minhash.bands(minhash.signatures(h[:, s].ravel(), np.arange(5000) * size, rows * n_bands, seed=11), rows) for s in (slice(0, size), slice(whole - size, whole)))
     assert (~(one == two).any(axis=1)).sum() <= most
 
 
