@@ -42,6 +42,8 @@ BITMAP_BITS = 24
 TURNS, OUTER, INNER = 1, 256, 8192
 #: at most HOT keys, of HOT_ROWS rows or more by a sample of one id in ONE_IN, are split
 HOT, HOT_ROWS, ONE_IN = 1000, 1024, 64
+#: edges that one task may join
+TASK_EDGES = 2**20
 #: a pivot with many partners is sent to this many places
 SALTS, ORDER_BITS = 32, 18
 
@@ -75,13 +77,18 @@ def components(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """id and component (the smallest id reachable) for every id in ``edges`` (a, b); its table is added to ``scratch``.
 
     A distributed union-find: each task joins what its own edges connect and passes on a
-    forest of stars, large-star and small-star merge the forests, until all are stars.
+    forest of stars, large-star and small-star merge the forests, until all are stars or
+    ``TASK_EDGES`` edges are left, 16 MB, which one task joins.
     """
     state, before = edges.select(F.col("a").alias("u"), F.col("b").alias("v")), None
     while True:
         state = written(state.mapInArrow(forest, "u long, v long"), "edges")
         if before is not None:
             discard(before)
+        if state.count() <= TASK_EDGES:  # the forests fit into a task, which ends the search
+            before, state = state, written(state.coalesce(1).mapInArrow(forest, "u long, v long"), "edges")
+            discard(before)
+            break
         # done when all are stars: each id hangs once, and no centre hangs
         ends = state.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("n")))
         left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("k")).where("n > 1 OR n = 1 AND k > 0")
