@@ -69,7 +69,7 @@ def parts_for(df: DataFrame, part_bytes: int) -> int:
     """Partitions of about ``part_bytes`` of input by the planner's estimate, and no fewer than the session has."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, -(-estimate // part_bytes)) if estimate < 2**62 else least  # rows that come from no file have no estimate
+    return max(least, -(-estimate // part_bytes)) if estimate < 2**54 else least  # rows that come from no file count as 2 ** 63 bytes, or a share of that
 
 
 def free_name(df: DataFrame, wish: str) -> str:
