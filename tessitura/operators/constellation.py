@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tessitura.functions import pair_hash
 from tessitura.params import FAN_OUT, MAX_BIN_GAP, MAX_GAP, MIN_GAP, POSTING_CAP
 
 CHUNK = 4096
+#: pairs of offsets for each delta beyond which a transform is cheaper
+DIRECT = 8
 
 
 def pair_hashes(peaks: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
@@ -77,10 +81,90 @@ def margins(matches: DataFrame) -> DataFrame:
 
 
 def similarity(samples: DataFrame, targets: DataFrame) -> DataFrame:
-    """sample_id, song_id, similarity: most sample entries that agree on one delta, over all entries, at most 1."""
-    s = samples.select("sample_id", "entry_id", "hash", F.col("offset").alias("at"))
-    both = s.join(targets.select("song_id", "hash", "offset"), "hash")
-    agreed = both.groupBy("sample_id", "song_id", (F.col("offset") - F.col("at")).alias("delta")).agg(F.countDistinct("entry_id").alias("n"))
+    """sample_id, song_id, similarity: most sample entries that agree on one delta, over all entries, at most 1.
+
+    An entry (entry_id) has one hash and offset.  Pairs of postings are as many as the square of what a hash has, so they
+    are counted, not made: both sides' offsets meet in the task of their (sample, song), packed, hash by hash, and the
+    counts of all deltas are the cross-correlation of the two lists, ``agreeing``.
+    """
+    own = samples.select("sample_id", "entry_id", "hash", F.col("offset").cast("long").alias("offset")).distinct()
+    own = _packed(own, "sample_id")
+    theirs = _packed(targets.select("song_id", "hash", F.col("offset").cast("long").alias("offset")).distinct(), "song_id")
+    asked, held = own.select("sample_id", "hash").distinct(), theirs.select("song_id", "hash").distinct()
+    rows = ["sample_id", "song_id", "hash", "role", "offsets"]
+    both = own.join(held, "hash").withColumn("role", F.lit(0)).select(rows).unionByName(theirs.join(asked, "hash").withColumn("role", F.lit(1)).select(rows))
+    both = both.repartition("sample_id", "song_id").sortWithinPartitions("sample_id", "song_id", "hash", "role")
+    kinds = ", ".join(f"{n} {both.schema[n].dataType.simpleString()}" for n in ("sample_id", "song_id"))
+    best = both.mapInArrow(_most_agreeing, f"{kinds}, n long")
     sizes = samples.groupBy("sample_id").agg(F.count("*").alias("n_entries"))
-    best = agreed.groupBy("sample_id", "song_id").agg(F.max("n").alias("n")).join(sizes, "sample_id")
-    return best.select("sample_id", "song_id", F.least(F.col("n") / F.col("n_entries"), F.lit(1.0)).alias("similarity"))
+    return best.join(sizes, "sample_id").select("sample_id", "song_id", F.least(F.col("n") / F.col("n_entries"), F.lit(1.0)).alias("similarity"))
+
+
+def _packed(postings: DataFrame, key: str) -> DataFrame:
+    """key, hash and offsets array<long>, a row for each chunk of offsets."""
+    some = postings.where("hash IS NOT NULL AND offset IS NOT NULL").groupBy(key, "hash", F.floor(F.col("offset") / CHUNK).alias("chunk"))
+    return some.agg(F.collect_list("offset").alias("offsets")).drop("chunk")
+
+
+class Agreeing:
+    """How many entries of a sample agree on each delta with a song, summed over hashes; deltas from ``first`` on."""
+
+    def __init__(self):
+        self.first, self.counts = 0, np.zeros(0, np.int64)
+
+    def add(self, own: np.ndarray, theirs: np.ndarray) -> None:
+        """``own``: offsets of entries, repeated ones count; ``theirs``: distinct offsets; of one hash."""
+        low, high = int(own.min()), int(theirs.min())
+        width = int(own.max()) - low + int(theirs.max()) - high + 1
+        counts = self._room(high - int(own.max()), width)
+        if len(own) * len(theirs) <= DIRECT * width:
+            step = max(1, 2**20 // len(theirs))
+            for i in range(0, len(own), step):
+                delta = np.subtract.outer(theirs - self.first, own[i : i + step]).ravel()
+                at = int(delta.min())
+                some = np.bincount(delta - at)
+                self.counts[at : at + len(some)] += some
+        else:  # the same sums by the Fourier transform, in steps that follow the width
+            size = 1 << (width - 1).bit_length()
+            a, b = np.bincount(int(own.max()) - own), np.bincount(theirs - high)
+            counts += np.rint(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:width]).astype(np.int64)
+
+    def _room(self, first: int, width: int) -> np.ndarray:
+        """The counts of ``width`` deltas from ``first`` on."""
+        if not len(self.counts):
+            self.first = first
+        low, high = min(first, self.first), max(first + width, self.first + len(self.counts))
+        if high - low > len(self.counts):  # twice the room it takes, so that it grows a few times only
+            spare = (high - low) // 2
+            counts, low = np.zeros(high - low + 2 * spare, np.int64), low - spare
+            counts[self.first - low : self.first - low + len(self.counts)] = self.counts
+            self.first, self.counts = low, counts
+        return self.counts[first - self.first : first - self.first + width]
+
+
+def _most_agreeing(batches):
+    """sample_id, song_id, n: rows (sample_id, song_id, hash, role, offsets) come by pair, hash and role."""
+    pair = at = None
+    counts, sides = Agreeing(), ([], [])
+
+    def settle():
+        if sides[0] and sides[1]:
+            counts.add(np.concatenate(sides[0]), np.concatenate(sides[1]))
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*pair, int(counts.counts.max())), kinds, strict=True)], ["sample_id", "song_id", "n"])
+
+    for b in batches:
+        kinds = (b.column(0).type, b.column(1).type, pa.int64())
+        lists, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy()
+        for i, (sample, song, key, role) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
+            if (sample, song, key) != at:
+                settle()
+                if pair is not None and (sample, song) != pair:
+                    yield row()
+                    counts = Agreeing()
+                pair, at, sides = (sample, song), (sample, song, key), ([], [])
+            sides[role].append(flat[lists[i] : lists[i + 1]].copy())
+    if pair is not None:
+        settle()
+        yield row()
