@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import discard, hash_strings, mix, number_of, quoted, written
-from tessitura.llm.linking import HOT, HOT_ROWS, ONE_IN, bitmap, components, flagged, joined, link
+from tessitura.llm.linking import HOT, HOT_ROWS, ONE_IN, bitmap, components, flagged, joined, link, packed
 from tessitura.llm.minhash import bands, signatures
 
 SHORT_TO, LONG_FROM = 130, 104
@@ -145,8 +145,8 @@ def placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, node long, id long, number int, n long")
 
 
-def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int = 1) -> DataFrame:
-    """key and id (node) for each band of each line and class of a batch, or of one node in ``one_in`` by a hash.
+def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int = 1, parts: int = 0, hot: list[int] | None = None) -> DataFrame:
+    """key and id (node) for each band of each line and class of a batch, or of one node in ``one_in`` by a hash; with ``parts`` as ``packed`` has them.
 
     The keys are many times as large as what they are made of, so they go into an exchange and no table.
     """
@@ -163,9 +163,10 @@ def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int
                     if len(use):
                         hashes, starts = shingles(x.of(use), width)
                         keys = bands(signatures(hashes, starts[:-1], samples * n_bands, seed=11), samples)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(name, n_bands))], ["key", "id"])
+                        keys, ids = keys.view(np.int64).ravel(), np.repeat(name, n_bands)
+                        yield packed(keys, ids, parts, hot or []) if parts else pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
 
-    return docs.where(number_of(docs, key).isNotNull()).select(quoted(text)).mapInArrow(run, "key long, id long")
+    return docs.where(number_of(docs, key).isNotNull()).select(quoted(text)).mapInArrow(run, "part int, keys binary, ids binary" if parts else "key long, id long")
 
 
 def shingle_set(raw: memoryview) -> tuple[np.ndarray, int]:
@@ -205,7 +206,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = written(placed(docs, key, text), "lines")
     scratch = [rows]
-    found = link(banded(docs, key, text), lambda ids: lines_of(docs, ids, text), shingle_set, scratch=scratch, sample=banded(docs, key, text, ONE_IN))
+    found = link(lambda parts, hot: banded(docs, key, text, parts=parts, hot=hot), lambda ids: lines_of(docs, ids, text), shingle_set, scratch=scratch, sample=banded(docs, key, text, ONE_IN))
     # the two nodes of a line in both classes are one
     pairs = rows.where("node != line").select("line", F.col("node").alias("id")).join(found, "id", "left_semi").distinct()
     scratch.append(written(pairs, "bridges"))
