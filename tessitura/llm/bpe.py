@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.llm.common import lean
+
 CACHE = 400_000
 # White space as the Unicode property has it (the regex module's \s also takes \x1C to \x1F).
 _S = "\t-\r \x85\xa0  -     　"
@@ -183,7 +185,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, flat)], ["_key", "ids"])
 
-    return docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+    return docs.select(F.col(key).alias("_key"), text).mapInArrow(lean(run), f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -196,7 +198,7 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             texts = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_key", "text"])
 
-    return coded.select(F.col(key).alias("_key"), "ids").mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)
+    return coded.select(F.col(key).alias("_key"), "ids").mapInArrow(lean(run), f"_key {kind}, text string").withColumnRenamed("_key", key)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,7 +218,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                     pa.array([sha(x.encode()) for x in back]), pa.array([x == (t or "") for x, t in zip(back, texts[i:j], strict=True)]),
                 ], ["_key", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
-    out = docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+    out = docs.select(F.col(key).alias("_key"), text).mapInArrow(lean(run), f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
     return out.withColumnRenamed("_key", key)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessitura.llm.common import Tokens, discard, hash_strings, mix, quoted, written
+from tessitura.llm.common import Tokens, discard, hash_strings, lean, mix, quoted, written
 
 MASKS = ("11011011", "11100111", "10110111", "11111000", "11010101", "10011011")
 MIN_EQUAL, MIN_ITEM, MISS, SHIFT, SLICE_BYTES = 10, 5, 1, 4, 8_000_000
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                         d, item, first, n, same = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + x for x in d])), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (first, n, same))], ["_key", "_item", "first_word", "n_words", "n_equal"])
 
-        found.append(docs.select(F.col(quoted(key)).alias("_key"), quoted(text)).mapInArrow(run, schema))
+        found.append(docs.select(F.col(quoted(key)).alias("_key"), quoted(text)).mapInArrow(lean(run), schema))
     out = reduce(DataFrame.unionByName, found)
     return out.withColumnRenamed("_key", key).withColumnRenamed("_item", item_key)
 
@@ -199,7 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
                 bad = {i + hit[0] for i, got in _hits(b, at, seeds.value) for hit in got}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import discard, hash_strings, mix, number_of, quoted, written
+from tessitura.llm.common import discard, hash_strings, lean, mix, number_of, quoted, written
 from tessitura.llm.linking import HOT, HOT_ROWS, ONE_IN, bitmap, components, flagged, joined, link, packed
 from tessitura.llm.minhash import bands, signatures
 
@@ -142,7 +142,7 @@ def placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 if len(x.lines):
                     yield from rows(x, ids[i:j])
 
-    return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, node long, id long, number int, n long")
+    return docs.select(number_of(docs, key).alias("id"), quoted(text)).where("id IS NOT NULL").mapInArrow(lean(run), "line long, node long, id long, number int, n long")
 
 
 def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int = 1, parts: int = 0, hot: list[int] | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ def banded(docs: DataFrame, key: str = "doc_id", text: str = "text", one_in: int
                         keys, ids = keys.view(np.int64).ravel(), np.repeat(name, n_bands)
                         yield packed(keys, ids, parts, hot or []) if parts else pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
 
-    return docs.where(number_of(docs, key).isNotNull()).select(quoted(text)).mapInArrow(run, "part int, keys binary, ids binary" if parts else "key long, id long")
+    return docs.where(number_of(docs, key).isNotNull()).select(quoted(text)).mapInArrow(lean(run), "part int, keys binary, ids binary" if parts else "key long, id long")
 
 
 def shingle_set(raw: memoryview) -> tuple[np.ndarray, int]:
@@ -195,7 +195,7 @@ def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                         head = bytes([byte])
                         yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([head + line for line in x.of(use).cast(pa.large_binary()).to_pylist()], pa.binary())], ["id", "set"])
 
-    every = docs.select(quoted(text)).mapInArrow(run, "id long, set binary")
+    every = docs.select(quoted(text)).mapInArrow(lean(run), "id long, set binary")
     return every.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
@@ -240,7 +240,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 doc = x.doc[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x.hash[x.which[use]]), pa.array(ids[i:j][doc]), pa.array(marks[i:j][doc]), pa.array(x.number[use].astype(np.int32))], ["line", "id", "mark", "number"])
 
-    places = docs.select(number_of(docs, key).alias("id"), F.xxhash64(quoted(text)).alias("mark"), quoted(text)).where("id IS NOT NULL").mapInArrow(run, "line long, id long, mark long, number int")
+    places = docs.select(number_of(docs, key).alias("id"), F.xxhash64(quoted(text)).alias("mark"), quoted(text)).where("id IS NOT NULL").mapInArrow(lean(run), "line long, id long, mark long, number int")
     gone = joined(places, classes, ["line"], hot, "line").where("id != keep_id OR number != keep_number")
     out = written(gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "gone")
     discard(classes)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, discard, free_name, hash_strings, mix, number_of, quoted, written
+from tessitura.llm.common import Tokens, discard, free_name, hash_strings, lean, mix, number_of, quoted, written
 from tessitura.llm.linking import HOT, HOT_ROWS, as_hashes, bitmap, flagged, joined, link
 from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signatures
 
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     pa.ListArray.from_arrays(offsets, pa.array(some.ravel())), pa.array([next(odd).tobytes() if m else None for m in n], pa.binary()),
                 ], ["id", "n_shingles", "print_a", "print_b", "bands", "sketch"])
 
-    return docs.select(number_of(docs, key).alias("id"), quoted(text)).mapInArrow(run, "id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary")
+    return docs.select(number_of(docs, key).alias("id"), quoted(text)).mapInArrow(lean(run), "id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
                 prints = np.array([mix(hashes[x] + np.uint64(1)).sum(dtype=np.uint64) for x in spans], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([hashes[x].tobytes() for x in spans], pa.binary()), pa.array(prints)], ["id", "set", "print"])
 
-    every = rows.mapInArrow(run, "id long, set binary, print long")
+    every = rows.mapInArrow(lean(run), "id long, set binary, print long")
     return every.join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("set", F.struct(F.octet_length("set"), "print")).alias("set"))
 
 
