@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import discard, hash_strings, lean, mix, number_of, quoted, written
-from tessitura.llm.linking import HOT, HOT_ROWS, ONE_IN, bitmap, components, flagged, joined, link, packed
+from tessitura.llm.linking import FEW, HOT, HOT_ROWS, ONE_IN, apart, bitmap, components, flagged, joined, link, packed
 from tessitura.llm.minhash import bands, signatures
 
 SHORT_TO, LONG_FROM = 130, 104
@@ -248,9 +248,19 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_lines_removed") -> DataFrame:
-    """``docs`` with the lines that go left out of the text; ``removed`` (long) is added, in place of a column of that name."""
+    """``docs`` with the lines that go left out of the text; ``removed`` (long) is added, in place of a column of that name.
+
+    Up to ``FEW`` rows with the lines to lose are broadcast; beyond that, only rows that may be among them are dealt out with their texts.
+    """
+    gone = removed_lines(docs, key, text)
+    name = F.xxhash64("id", "mark").alias("name")
     row = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), number_of(docs, key).alias("id"), F.xxhash64(quoted(text)).alias("mark"))
-    out = row.join(removed_lines(docs, key, text), ["id", "mark"], "left")
+    size = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("numbers")), F.lit(0)) / 8).first()[0]  # eight numbers take as much as a row
+    if size <= FEW:
+        out = row.join(F.broadcast(gone), ["id", "mark"], "left")
+    else:
+        some, others = apart(row.select("*", name), "name", gone.select(name))
+        out = some.join(gone, ["id", "mark"], "left").select("row", "numbers").unionByName(others.select("row", F.lit(None).cast("array<int>").alias("numbers")))
     out = out.withColumn("lines", F.when(F.col("numbers").isNotNull(), F.split(F.col("row").getField(text), "\n")))
     out = out.withColumn("left", F.expr("array_except(sequence(0, size(lines) - 1), numbers)"))
     new = F.when(F.col("numbers").isNull(), F.col("row").getField(text)).otherwise(F.expr("array_join(transform(left, i -> lines[i]), '\n')"))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import Tokens, discard, free_name, hash_strings, lean, mix, number_of, quoted, written
-from tessitura.llm.linking import HOT, HOT_ROWS, as_hashes, bitmap, flagged, joined, link
+from tessitura.llm.common import Tokens, discard, hash_strings, lean, mix, number_of, quoted, written
+from tessitura.llm.linking import FEW, HOT, HOT_ROWS, apart, as_hashes, bitmap, flagged, joined, link
 from tessitura.llm.minhash import bands, odd_similarity, odd_sketches, signatures
 
 WORDS, PER_CENT = 5, 75
@@ -137,7 +137,7 @@ def sketched_alike(pairs: DataFrame, sketches: DataFrame, per_cent: int = PER_CE
 
     one, two = (sketches.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
     near = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {per_cent} * greatest(n_a, n_b)")
-    return near.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -192,10 +192,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; rows with a null key stay."""
-    name = free_name(docs, "_gone")
-    gone = near_duplicates(docs, key, text).where("NOT kept").select(F.col(quoted(key)).alias(name)).distinct()
-    return docs.join(gone, F.col(quoted(key)) == F.col(name), "left_anti")
+    """The rows of ``docs`` whose document is the first of its component; rows with a null key stay.
+
+    Up to ``FEW`` keys that go are broadcast; beyond that, only rows that may have one are dealt out with their texts.
+    """
+    gone = written(near_duplicates(docs, key, text).where("NOT kept").select(F.col(quoted(key)).alias("key")).distinct(), "gone")
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), number_of(docs, key).alias("id"))
+    some, others = (rows, None) if (few := gone.count() <= FEW) else apart(rows, "id", gone.select(number_of(gone, "key")))
+    out = some.join(F.broadcast(gone) if few else gone, F.col("row").getField(key) == F.col("key"), "left_anti")
+    return (out if few else out.unionByName(others)).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
